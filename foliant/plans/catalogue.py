@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.plans import relational_queries, retrieval_queries, text_queries  # noqa: F401
+from foliant.plans import graph_queries, relational_queries, retrieval_queries, text_queries  # noqa: F401
 from foliant.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
