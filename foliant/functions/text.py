@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WHITE = r"[\s\p{Z}]+"
 WORD = r"[\p{L}\p{N}]+"
@@ -33,7 +34,7 @@ DOMAINS = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode composition; plain ASCII passes as it is."""
     return texts.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
