@@ -47,14 +47,14 @@ def pack_sentences(text: Column, base: Column, size: int = SIZE, lossy_wrap: boo
 def structural(text: Column, size: int = SIZE) -> Column:
     """Pieces (text, start): paragraphs packed up to the size; one over the size is packed by its sentences."""
     ends = F.split(text, r"(?<=\n)(?=\s*\n)")
-    paragraphs = F.transform(ends, lambda p: F.struct(F.length(p).alias("n"), F.regexp_replace(p, r"^\s*\n|\n$", "").alias("t")))
+    lead = lambda p: F.length(F.regexp_extract(p, r"^\s*\n", 0))
+    paragraphs = F.transform(ends, lambda p: F.struct(F.length(p).alias("n"), lead(p).alias("lead"), F.regexp_replace(p, r"^\s*\n|\n$", "").alias("t")))
     empty = F.array().cast(f"array<{_PIECE}>")
     zero = F.struct(F.lit("").alias("buf"), F.lit(0).alias("start"), F.lit(0).alias("at"), empty.alias("out"))
 
     def step(state: Column, p: Column) -> Column:
         t, blank = p["t"], _strip(p["t"]) == ""
-        here = state["at"] + p["n"] - F.length(F.regexp_extract(p["t"], r"(?s)^(.*)$", 1)) - F.when(p["n"] > F.length(t), 1).otherwise(0)
-        here = F.greatest(here, state["at"])
+        here = state["at"] + p["lead"]
         start = F.when(state["buf"] == "", here).otherwise(state["start"])
         fits = F.length(state["buf"]) + F.length(t) <= size
         flushed = _push(state["out"], state["buf"], start)
