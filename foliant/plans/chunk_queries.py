@@ -266,3 +266,21 @@ def read_dialogue_csv(spark: SparkSession, d: str) -> DataFrame:
     table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(turns).alias("turns")).write.mode("overwrite").option("escape", '"').option("quoteAll", True).csv(path)
     back = ingest.read_dialogues(spark, path)
     return back.select("conv_id", F.explode("turns").alias("t")).groupBy("conv_id").agg(F.count("*").alias("turns"), F.count(F.when(F.contains("t.text", F.lit("\n")), 1)).alias("with_breaks"))
+
+
+@query("select doc_id, quality, toxic from labels")
+def read_json_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as JSON arrays of a few hundred items, read with a declared schema: one row for each item."""
+    path = ingest.scratch(spark, "json")
+    labels = table(spark, d, "labels")
+    parts = max(1, labels.count() // 500)
+    labels.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts))).agg(F.to_json(F.collect_list(F.struct("doc_id", "quality", "toxic"))).alias("value")).select("value").write.mode("overwrite").text(path)
+    return ingest.read_json_dataset(spark, path, "doc_id long, quality int, toxic int", lines=True)
+
+
+@query("select source, lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by all")
+def write_result(spark: SparkSession, d: str) -> DataFrame:
+    """A result written as JSON and read back."""
+    path = ingest.scratch(spark, "result")
+    ingest.write_result(table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")), path)
+    return spark.read.schema("source string, lang string, n long, chars long").json(path)

@@ -82,9 +82,9 @@ def read_dialogues(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("turns", F.from_json("turns", "array<struct<turn:long,role:string,text:string>>"))
 
 
-def read_json_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON array in one file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_dataset(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """The items of JSON arrays: one array in each file, or in each line."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_result(rows: DataFrame, path: str) -> None:
