@@ -65,3 +65,11 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 def sized(frame: DataFrame, rows: int) -> DataFrame:
     """A cut table, marked for broadcast only if it is counted to have at most this many (narrow) rows."""
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened alike until none of them is taken."""
+    taken, tail = {c.lower() for c in columns}, ""
+    while any(f"{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"{n}{tail}" for n in names]

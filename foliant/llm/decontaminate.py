@@ -88,4 +88,4 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs that carry no benchmark text, with all their columns."""
     found = cut(find_leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).distinct())
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("own_id")) & (F.xxhash64(docs["text"]) == F.col("own_hash")), "left_anti")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["own_id"]) & (F.xxhash64(docs["text"]) == found["own_hash"]), "left_anti")

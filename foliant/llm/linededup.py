@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.common import cut, sized
+from foliant.llm.common import cut, free, sized
 
 #: A line ends at a line feed; a sentence's end inside a long line ends a unit too. Ends stay with their units.
 _BREAK = r"(?<=\n)|(?<=[.!?…] )"
@@ -83,14 +83,15 @@ def dedup_lines(docs: DataFrame, gram: int = 30, window: int = 20) -> DataFrame:
     as they are. All other columns stay; names of the four columns above, if docs has them, are replaced.
     """
     own = ["n_units", "removed_units", "words_left", "runs"]
-    kept_columns = [c for c in docs.columns if c not in own]
-    found = sized(cut(repeated_runs(docs, gram, window).select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), F.col("runs").alias("own_runs"))), 200_000)
-    joined = docs.select(*kept_columns).join(found, (F.col("doc_id").cast("long") == F.col("own_id")) & (F.xxhash64("text") == F.col("own_hash")), "left")
+    columns = [c for c in docs.columns if c not in own]
+    own_id, own_hash, own_runs, own_kept, own_left = free(columns, "own_id", "own_hash", "own_runs", "own_kept", "own_left")
+    found = sized(cut(repeated_runs(docs, gram, window).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash), F.col("runs").alias(own_runs))), 200_000)
+    joined = docs.select(*columns).join(found, (F.col("doc_id").cast("long") == F.col(own_id)) & (F.xxhash64("text") == F.col(own_hash)), "left")
     whole = units(F.col("text"))
-    kept = F.filter(whole, lambda u, i: ~F.exists("own_runs", lambda r: (i >= r["lo"]) & (i <= r["hi"])))
-    marked = joined.withColumn("own_kept", F.when(F.col("own_runs").isNotNull(), kept)).withColumn("n_units", F.when(F.col("text").isNotNull(), F.size(whole)).otherwise(0))
+    kept = F.filter(whole, lambda u, i: ~F.exists(own_runs, lambda r: (i >= r["lo"]) & (i <= r["hi"])))
+    marked = joined.withColumn(own_kept, F.when(F.col(own_runs).isNotNull(), kept)).withColumn("n_units", F.when(F.col("text").isNotNull(), F.size(whole)).otherwise(0))
     words = lambda text: F.when(F.btrim(text, F.lit(_WHITE)) == "", 0).otherwise(F.size(F.split(F.btrim(text, F.lit(_WHITE)), r"[ \t\r\n]+")))
-    left = F.coalesce(F.array_join("own_kept", ""), F.col("text"))
-    out = marked.withColumn("removed_units", F.when(F.col("own_runs").isNotNull(), F.col("n_units") - F.size("own_kept")).otherwise(0)).withColumn("own_left", left)
-    share = F.coalesce(words(F.col("own_left")), F.lit(0))
-    return out.select(*(F.col("own_left").alias("text") if c == "text" else F.col(c) for c in kept_columns), "n_units", "removed_units", share.alias("words_left"), F.coalesce("own_runs", F.array().cast("array<struct<lo:int,hi:int,source:bigint>>")).alias("runs"))
+    removed = F.when(F.col(own_runs).isNotNull(), F.col("n_units") - F.size(own_kept)).otherwise(0)
+    out = marked.withColumn("removed_units", removed).withColumn(own_left, F.coalesce(F.array_join(own_kept, ""), F.col("text")))
+    left = F.coalesce(words(F.col(own_left)), F.lit(0))
+    return out.select(*(F.col(own_left).alias("text") if c == "text" else F.col(c) for c in columns), "n_units", "removed_units", left.alias("words_left"), F.coalesce(own_runs, F.array().cast("array<struct<lo:int,hi:int,source:bigint>>")).alias("runs"))
