@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import new_folder
+from foliant.llm.common import cut, new_folder, sized
 
 #: Magic number of the skippable frame that holds an archive's dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -26,7 +26,7 @@ def _record(kind: str, row: dict) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % row["payload_bytes"] + payload
     fields = {
         "WARC-Type": kind, "WARC-Record-ID": f"<{_URN}{row['page_id']}>", "WARC-Date": _DATE, "WARC-Target-URI": re.sub(r"[\r\n]+", " ", row["url"] or ""),
-        "WARC-Payload-Digest": f"sha256:{row['payload_digest']}", "X-Payload-Length": row["payload_bytes"], "X-Row": row["row"],
+        "WARC-Payload-Digest": f"sha256:{row['payload_digest']}", "X-Payload-Length": row["payload_bytes"],
         **({"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<{_URN}{row['refers_to']}>"} if kind == "revisit" else {}),
         "Content-Type": "application/http;msgtype=response", "Content-Length": len(block),
     }
@@ -79,21 +79,23 @@ def parse_archive(data: bytes) -> Iterator[dict]:
 
 
 def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
-    """(row, page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) for every row of pages.
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) for every row of pages.
 
-    Of the pages whose payloads are equal and at least ``least`` bytes long, the one with the least page_id (then
-    the first row) is the response and the others revisit it. Only digests and ids are grouped and joined.
+    Of the pages whose payloads are equal and at least ``least`` bytes long, the one with the least page_id is the
+    response and the others revisit it. Only digests and ids are grouped; the digests that repeat are counted and
+    broadcast while they are few, so payloads stay where they are and a payload that many pages share is dealt out
+    like any other; beyond, the join is a shuffle whose hot digests adaptive execution splits.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(first.select("payload_digest", F.col("f.page_id").alias("first_id"), F.col("f.row").alias("first_row")), "payload_digest", "left")
-    revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("row"))
-    return joined.select("row", "page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
+    joined = rows.join(sized(cut(first), 200_000), "payload_digest", "left")
+    revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 32 << 20, dictionary_bytes: int = 64 << 10) -> DataFrame:
+def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 16 << 20, dictionary_bytes: int = 64 << 10) -> DataFrame:
     """(archive, records, bytes, data): archives of about ``archive_bytes`` of records, each complete in ``data``.
 
     Each archive has its own dictionary, trained on its own records, in a leading skippable frame, and every
@@ -158,8 +160,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, **settings) -> Da
 
     The table has one archive in each row, so Spark's writers and readers carry it to any store; a task that is
     repeated writes the same archives. Null html is an empty payload, a null url an empty field. Repeated rows
-    and rows without page_id are records of their own; a null page_id is written as such, and among equal
-    payloads it is response only where no row has an id. Other columns are ignored; no row in, no record out.
+    and rows without page_id are records of their own; rows that repeat a response's page_id are responses too,
+    and among equal payloads a row without page_id is response only where no row has one. Other columns are
+    ignored; no row in, no record out.
     """
     path = folder or new_folder(pages.sparkSession, "warc")
     write_archives(pages, **settings).write.mode("overwrite").parquet(path)
