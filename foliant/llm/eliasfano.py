@@ -97,10 +97,16 @@ class EliasFano:
 
 
 def quantise(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, book): values replaced by the nearest of at most ``levels`` quantiles."""
+    """(codes, book): values replaced by the nearest of at most ``levels``.
+
+    Few distinct values are kept exactly. Otherwise half of the levels are quantiles, and half lie evenly between
+    the extremes, so that rare large values stay near themselves too.
+    """
     if not len(values):
         return np.zeros(0, np.uint8), np.zeros(1)
-    book = np.unique(np.quantile(values, (np.arange(levels) + 0.5) / levels))
+    book = np.unique(values)
+    if len(book) > levels:
+        book = np.unique(np.concatenate([np.quantile(values, (np.arange(levels // 2) + 0.5) / (levels // 2)), np.linspace(book[0], book[-1], levels // 2)]))
     return np.searchsorted((book[1:] + book[:-1]) / 2, values).astype(np.uint8), book
 
 

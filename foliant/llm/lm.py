@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from foliant.llm.eliasfano import Trie
 _END = xxhash.xxh64_intdigest(b" end ")
 _START = xxhash.xxh64_intdigest(b" start ")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_FIELDS = "doc_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
 class _Block:
@@ -74,11 +75,23 @@ def _unpack(blob: memoryview, kinds: list) -> list[np.ndarray]:
     return out
 
 
-#: Documents of the blob (id, flags), words with the number of their rows, distinct contexts; then context and document of every row.
-_KINDS = [np.int64, np.uint8, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32]
+#: Documents of the blob (id, flags, place in the block), words with the number of their rows, distinct contexts; then context and
+#: document of every row, as bytes of the narrowest kind that holds them.
+_KINDS = [np.int64, np.uint8, np.uint32, np.uint64, np.uint32, np.uint64, np.uint8, np.uint8]
+#: A shard's sums for the documents of a block: place, tokens, known ones, base, score; then place, id and flags of
+#: those whose end token lies in the shard, which is so in exactly one shard for each document.
+_SUMS = [np.uint32, np.uint32, np.uint32, np.float64, np.float32, np.uint32, np.int64, np.uint8]
 
 
-def unigrams(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
+def _narrow(values: np.ndarray, most: int) -> np.ndarray:
+    return values.astype(np.uint16 if most <= 1 << 16 else np.uint32).view(np.uint8)
+
+
+def _wide(packed: np.ndarray, most: int) -> np.ndarray:
+    return packed.view(np.uint16 if most <= 1 << 16 else np.uint32)
+
+
+def unigrams(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
     """(h, c): count of every training token by the XXH64 of its word. docs: (doc_id, text, train)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +105,7 @@ def unigrams(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 4_000_000, block_tokens: int = 2_000_000, parts: int = 7, part: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1_500_000, block_tokens: int = 1_000_000, least_shards: int = 64, parts: int = 7, part: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     The model is learned from all documents whose crc32(doc_id) mod ``parts`` is not ``part``. base_score is the
@@ -101,10 +114,10 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 4
 
     The numerator needs only counts of w, the denominator only counts of v. So every token goes once to the
     shard of its word, which has all that is known of the word: it builds the word's part of the trie (level 1:
-    words; level 2: the contexts each was seen after), answers its own tokens and returns a partial sum for each
-    document. Words with over 1/256 of the tokens are dealt to shards by context as well; there are at most 256
+    words; level 2: the contexts each was seen after), answers its own tokens and returns packed partial sums for
+    the documents of each block, which are added up by block. Words with over 1/256 of the tokens are dealt to shards by context as well; there are at most 256
     of these, and only their counts are broadcast. Blocks go to shards as packed arrays with each distinct
-    context once. Shards grow in number with the corpus, not in size.
+    context once. Shards grow in number with the corpus (from ``least_shards`` on), not in size.
 
     Null texts and texts without a word have the end token only. Rows without doc_id count as the id text ''.
     Repeated rows are rows of their own. Without training rows all counts are zero. Other columns are ignored.
@@ -116,7 +129,7 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 4
     hot = {r.h & (2**64 - 1): r.c for r in counted.where(F.col("c") * 256 > total).collect()}
     end = counted.where(F.col("h") == F.lit(_END - 2**64 if _END >= 2**63 else _END)).first()
     starts = end.c if end else 0
-    shards = max(1, -(-int(total) // shard_tokens))
+    shards = max(least_shards, -(-int(total) // shard_tokens))
     hot_words = np.array(sorted(hot), np.uint64)
     hot_counts = np.array([hot[h] for h in sorted(hot)], np.int64)
 
@@ -138,28 +151,25 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 4
                 words, n = np.unique(block.code[rows_], return_counts=True)
                 contexts, context = np.unique(block.context[rows_], return_inverse=True)
                 documents, document = np.unique(block.doc[rows_], return_inverse=True)
-                blob = _pack([ids[documents], flags[documents], block.hashes[words], n.astype(np.uint32), block.hashes[contexts], context.astype(np.uint32), document.astype(np.uint32)])
-                keys = pa.array([(base + (number << 20) + documents).astype(np.int64).tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), keys, pa.array([blob])], names=["shard", "keys", "blob"])
+                blob = _pack([ids[documents], flags[documents], documents.astype(np.uint32), block.hashes[words], n.astype(np.uint32), block.hashes[contexts], _narrow(context, len(contexts)), _narrow(document, len(documents))])
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([base + number]), pa.array([blob])], names=["shard", "block", "blob"])
 
     def answer(table: pa.Table) -> pa.Table:
-        docs_, flags, keys, words, counts, contexts, context, document = [], [], [], [], [], [], [], []
+        docs_, flags, places, words, counts, contexts, context, document, sizes = [], [], [], [], [], [], [], [], [0]
         n_docs = n_contexts = 0
-        for key, blob in zip(table.column("keys"), table.column("blob"), strict=True):
+        for blob in table.column("blob"):
             a = _unpack(memoryview(blob.as_buffer()), _KINDS)
-            keys.append(np.frombuffer(key.as_buffer(), np.int64))
-            docs_.append(a[0])
-            flags.append(a[1])
-            words.append(a[2])
-            counts.append(a[3])
-            contexts.append(a[4])
-            context.append(a[5].astype(np.int64) + n_contexts)
-            document.append(a[6].astype(np.int64) + n_docs)
-            n_docs, n_contexts = n_docs + len(a[0]), n_contexts + len(a[4])
-        docs_, flags, keys, counts, context, document = map(np.concatenate, (docs_, flags, keys, counts, context, document))
+            for held, part in zip((docs_, flags, places, words, counts, contexts), a, strict=False):
+                held.append(part)
+            context.append(_wide(a[6], len(a[5])).astype(np.int32) + np.int32(n_contexts))
+            document.append(_wide(a[7], len(a[0])).astype(np.int32) + np.int32(n_docs))
+            n_docs, n_contexts = n_docs + len(a[0]), n_contexts + len(a[5])
+            sizes.append(n_docs)
+        docs_, flags, places, counts, context, document = map(np.concatenate, (docs_, flags, places, counts, context, document))
         root_names, root_of = np.unique(np.concatenate(words), return_inverse=True)
         context_names, context_of = np.unique(np.concatenate(contexts), return_inverse=True)
-        root = np.repeat(root_of, counts)
+        del words, contexts
+        root = np.repeat(root_of.astype(np.int32), counts)
         pair = root.astype(np.uint64) * np.uint64(len(context_names)) + context_of[context].astype(np.uint64)
         del context
         train = (flags & 1).astype(bool)[document]
@@ -176,14 +186,31 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 4
             numerator = trie.values(asked_root, (asked % np.uint64(len(context_names))).astype(np.int64))
         base = np.log10(seen + 1)
         below = np.where(root_names == np.uint64(_END), np.log10(starts + mu), np.log10(seen + mu))
-        n = np.bincount(document, minlength=n_docs)
-        return pa.table({
-            "doc_key": keys, "doc_id": pa.array(docs_, mask=(flags & 2).astype(bool)), "held_out": ~(flags & 1).astype(bool), "n_tokens": n,
-            "n_known": np.bincount(document, seen[root] > 0, n_docs).astype(np.int64), "base": np.bincount(document, base[root], n_docs),
-            "score": np.bincount(document, numerator[which] - below[root], n_docs),
-        })
-
-    dealt = rows.mapInArrow(deal, "shard long, keys binary, blob binary")
-    partial = dealt.groupBy("shard").applyInArrow(answer, _FIELDS)
-    whole = partial.groupBy("doc_key").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base"), F.sum("score").alias("score"))
+        n = np.bincount(document, minlength=n_docs).astype(np.uint32)
+        known = np.bincount(document, seen[root] > 0, n_docs).astype(np.uint32)
+        sums = np.bincount(document, base[root], n_docs)
+        score = np.bincount(document, numerator[which] - below[root], n_docs).astype(np.float32)
+        ends = np.zeros(n_docs, bool)
+        ends[document[root_names[root] == np.uint64(_END)]] = True
+        press, packed = zstandard.ZstdCompressor(level=1), []
+        for i, j in zip(sizes[:-1], sizes[1:], strict=True):
+            own = np.flatnonzero(ends[i:j]) + i
+            packed.append(press.compress(_pack([places[i:j], n[i:j], known[i:j], sums[i:j], score[i:j], places[own], docs_[own], flags[own]])))
+        return pa.table({"block": table.column("block"), "sums": pa.array(packed, pa.binary())})
+
+    def add_up(table: pa.Table) -> pa.Table:
+        reader, parts = zstandard.ZstdDecompressor(), []
+        for blob in table.column("sums"):
+            parts.append(_unpack(memoryview(reader.decompress(blob.as_buffer())), _SUMS))
+        place, ids, flags = (np.concatenate([p[k] for p in parts]) for k in (5, 6, 7))
+        whole = np.zeros((4, int(place.max()) + 1))
+        for p in parts:
+            for k in range(4):
+                np.add.at(whole[k], p[0], p[k + 1])
+        n, known, base, score = whole[:, place]
+        return pa.table({"doc_id": pa.array(ids, mask=(flags & 2).astype(bool)), "held_out": ~(flags & 1).astype(bool), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "score": score})
+
+    dealt = rows.mapInArrow(deal, "shard long, block long, blob binary")
+    partial = dealt.groupBy("shard").applyInArrow(answer, "block long, sums binary")
+    whole = partial.groupBy("block").applyInArrow(add_up, _FIELDS)
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(total + distinct + 1)))).alias("base_score"), "score")
