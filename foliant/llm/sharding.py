@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliant.llm.common import new_folder
+from foliant.llm.common import free, new_folder
 
 
 class ManifestConflict(RuntimeError):
@@ -68,21 +67,23 @@ class ShardedTable:
         """Write arrivals as small shards, as they come from their tasks, and commit them."""
         based_on = self.version()
         folder = f"data/append-{based_on + 1:08}-{self.spark.sparkContext.applicationId}"
-        rows.write.mode("overwrite").parquet(f"{self.root}/{folder}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return self.commit(self.shards(based_on) + self._files(folder, 0), based_on)
 
     def plan(self, shards: list[dict], target: int, fan_in: int) -> list[list[dict]]:
-        """Runs to merge: shards below half the target, in tiers of similar size (a factor of ``fan_in``), in runs
-        of at most the target. A run with one shard, or below ``fan_in`` shards that don't fill half the target,
-        waits for more."""
-        tiers: dict[int, list[dict]] = {}
-        for s in shards:
-            if s["bytes"] < target // 2:
-                tiers.setdefault(int(math.log(max(s["bytes"], 1), fan_in)), []).append(s)
+        """Runs to merge: shards below half the target, in tiers (the largest of a tier is at most ``fan_in`` times
+        its smallest), in runs of at most the target. A run with one shard, or below ``fan_in`` shards that don't
+        fill half the target, waits for more."""
+        tiers: list[list[dict]] = []
+        age = {s["name"]: k for k, s in enumerate(shards)}
+        for s in sorted((s for s in shards if s["bytes"] < target // 2), key=lambda s: s["bytes"]):
+            if not tiers or s["bytes"] > fan_in * max(tiers[-1][0]["bytes"], 1):
+                tiers.append([])
+            tiers[-1].append(s)
         runs = []
-        for _, tier in sorted(tiers.items()):
+        for tier in tiers:
             run, held = [], 0
-            for s in tier:
+            for s in sorted(tier, key=lambda s: age[s["name"]]):
                 if run and held + s["bytes"] > target:
                     runs.append(run)
                     run, held = [], 0
@@ -105,11 +106,13 @@ class ShardedTable:
             return based_on
         folder = f"data/merge-{based_on + 1:08}-{self.spark.sparkContext.applicationId}"
         where = {s["name"].rsplit("/", 1)[-1]: k for k, run in enumerate(runs) for s in run}
-        schema = T.StructType([T.StructField("own_file", T.StringType()), T.StructField("own_run", T.IntegerType())])
+        merged = self.spark.read.parquet(*(f"{self.root}/{s['name']}" for run in runs for s in run))
+        own_file, own_run = free(merged.columns, "own_file", "own_run")
+        schema = T.StructType([T.StructField(own_file, T.StringType()), T.StructField(own_run, T.IntegerType())])
         plan = self.spark.createDataFrame(list(where.items()), schema)
-        merged = self.spark.read.parquet(*(f"{self.root}/{s['name']}" for run in runs for s in run)).withColumn("own_file", F.col("_metadata.file_name"))
-        dealt = merged.join(F.broadcast(plan), "own_file").drop("own_file").repartitionByRange(len(runs), "own_run")
-        dealt.write.mode("overwrite").partitionBy("own_run").parquet(f"{self.root}/{folder}")
+        named = merged.withColumn(own_file, F.col("_metadata.file_name"))
+        dealt = named.join(F.broadcast(plan), own_file).drop(own_file).repartitionById(len(runs), own_run)
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(own_run).parquet(f"{self.root}/{folder}")
         gone = {s["name"] for run in runs for s in run}
         return self.commit([s for s in shards if s["name"] not in gone] + self._files(folder, max(s["level"] for r in runs for s in r) + 1), based_on)
 
