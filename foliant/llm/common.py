@@ -73,3 +73,14 @@ def free(columns: list[str], *names: str) -> list[str]:
     while any(f"{n}{tail}".lower() in taken for n in names):
         tail += "_"
     return [f"{n}{tail}" for n in names]
+
+
+def bounded(rows: DataFrame, most: int, seed: int, *key: str) -> DataFrame:
+    """About ``most`` rows (never over twice that), by a hash of their key; all rows if there are no more.
+
+    The share is set by the table's count, so only rows of the sample leave their tasks.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) < int(most / n * (1 << 30))).limit(2 * most)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, held_out
+from foliant.llm.common import bounded, cut, held_out
 from foliant.llm.docstats import COUNTS, FEATURES, features, with_counts
 
 
@@ -60,8 +60,8 @@ def train(counted: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Mode
     """Fit on counted rows (doc_id, COUNTS). Trusted positives are the documents labelled 1; every document is unlabelled.
 
     Labels whose held-out remainder (crc32 of the id mod 3 is 1) is met are never read. The class prior is the
-    share of positives among the labels that are read. At most ``max_rows`` positives and as many unlabelled
-    rows, those with the least hash of their id, reach the driver. None: there is no positive to learn from.
+    share of positives among the labels that are read. About ``max_rows`` positives and as many unlabelled rows
+    (never over twice that), chosen by a hash, reach the driver. None: there is no positive to learn from.
     """
     known = labels.where(~held_out(F.col("doc_id"), 3, 1)).where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality"), F.count("*")).first()
@@ -69,7 +69,7 @@ def train(counted: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Mode
         return None
 
     def sample(rows: DataFrame) -> np.ndarray:
-        return np.array([tuple(r) for r in rows.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", *COUNTS).limit(max_rows).select(*COUNTS).collect()], np.int64).reshape(-1, len(COUNTS))
+        return np.array(sorted(tuple(r) for r in bounded(rows, max_rows, 11, "doc_id", *COUNTS).select(*COUNTS).collect()), np.int64).reshape(-1, len(COUNTS))
 
     positive = sample(counted.join(known.where("quality = 1"), "doc_id", "left_semi"))
     unlabelled = sample(counted)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut
+from foliant.llm.common import bounded, cut
 from foliant.llm.docstats import BASE, COUNTS, FEATURES, features, with_counts
 
 #: Direction in which a feature may move the score: -1 means that more of it never makes a text better.
@@ -95,10 +95,10 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: fl
 
 
 def train(counted: DataFrame, labels: DataFrame, max_rows: int = 40_000) -> Trees | None:
-    """Fit on at most ``max_rows`` labelled rows, those with the least hash of their id; None without both classes."""
+    """Fit on about ``max_rows`` labelled rows (never over twice that), chosen by a hash; None without both classes."""
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = counted.join(known, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", *COUNTS).limit(max_rows).select("quality", *COUNTS).collect()
-    both = np.array([tuple(r) for r in rows], np.int64).reshape(-1, len(COUNTS) + 1)
+    rows = bounded(counted.join(known, "doc_id"), max_rows, 5, "doc_id", *COUNTS).select("quality", *COUNTS).collect()
+    both = np.array(sorted(tuple(r) for r in rows), np.int64).reshape(-1, len(COUNTS) + 1)
     if len(set(both[:, 0].tolist())) < 2:
         return None
     return fit(features(both[:, 1:]), both[:, 0].astype(float))
