@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, slices, utf8
+from foliant.llm.common import cut, sized, slices, utf8
 from foliant.llm.components import connected_components
 
 _BITS = 64
@@ -20,21 +20,33 @@ _LEAVES = 64
 _FRONT = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """SimHash of a UTF-8 text: A-Z lower-cased, ASCII white space parts words, repeats count.
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text: A-Z lower-cased, ASCII white space parts words, repeats stay.
 
-    Fewer words than a shingle: the whole sequence is the only shingle. No word: 0.
+    Fewer words than a shingle: the whole sequence is the only shingle. No word: no shingle.
     """
     words = text.lower().split()
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(b" ".join(words), seed)
+        return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+
+
+def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """Another hash of the same shingles; number 0 leaves them as they are."""
+    if not number:
+        return hashes
+    z = hashes + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return z ^ z >> np.uint64(31)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
     ones = np.zeros(_BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -42,16 +54,24 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer, for every row; null text counts as empty."""
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """SimHash of a UTF-8 text; 0 if it has no word."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, prints: int = 1) -> DataFrame:
+    """(doc_id, number, fp): fingerprints as signed 64-bit integers, ``prints`` for every row; null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2048):
-                found = np.fromiter((fingerprint(x, shingle) for x in utf8(batch.column(1))), np.uint64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+                hashes = (shingle_hashes(x, shingle) for x in utf8(batch.column(1)))
+                found = np.array([[majority(mixed(h, k)) for k in range(prints)] for h in hashes], np.uint64).reshape(-1, prints)
+                ids = pa.concat_arrays([batch.column(0)] * prints)
+                number = np.repeat(np.arange(prints, dtype=np.int32), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(number), pa.array(found.T.ravel().view(np.int64))], names=["doc_id", "number", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, number int, fp long")
 
 
 class _Sets:
@@ -65,18 +85,24 @@ class _Sets:
             self.root = up
         return self.root
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join the sets of each pair; returns those pairs that joined two sets, at most one for each leaf."""
+        used_a, used_b = [a[:0]], [b[:0]]
         while len(a):
             self.flatten()
             x, y = self.root[a], self.root[b]
             apart = x != y
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            high, one = np.unique(np.maximum(x, y), return_index=True)
+            self.root[high] = np.minimum(x, y)[one]
+            used_a.append(a[one])
+            used_b.append(b[one])
+        return np.concatenate(used_a), np.concatenate(used_b)
 
 
 def trie_links(keys: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the sorted distinct keys exactly as all pairs within ``budget`` differing bits would,
-    where both ends agree in their first ``depth`` bits.
+    """Pairs of places within ``budget`` differing bits that connect the sorted distinct keys exactly as all such
+    pairs would, where both ends agree in their first ``depth`` bits.
 
     A node of the trie is a range of the sorted keys. Pairs of nodes go down together, differing bits add up,
     and a pair over the budget is left. Smaller budgets go first: a pair of nodes that lie in one set by then
@@ -85,6 +111,7 @@ def trie_links(keys: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, n
     """
     n = len(keys)
     sets = _Sets(n)
+    used: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     top = keys >> np.uint64(_BITS - depth) if depth else np.zeros(n, np.uint64)
     first = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1]))) if n else np.zeros(0, np.int64)
     last = np.append(first[1:], n)
@@ -114,7 +141,7 @@ def trie_links(keys: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, n
                 k = np.arange(len(each)) - np.repeat(np.cumsum(w * h) - w * h, w * h)
                 x, y = a0[few][each] + k // h[each], b0[few][each] + k % h[each]
                 near = (x < y) & (np.bitwise_count(keys[x] ^ keys[y]) <= allowed)
-                sets.link(x[near], y[near])
+                used.append(sets.link(x[near], y[near]))
                 a0, a1, b0, b1, d = (v[~few] for v in (a0, a1, b0, b1, d))
             if not len(a0):
                 continue
@@ -124,40 +151,41 @@ def trie_links(keys: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, n
             parts = ((a0, am, b0, bm, d, True), (am, a1, bm, b1, d, True), (a0, am, bm, b1, d + 1, True), (am, a1, b0, bm, d + 1, ~twin))
             kept = [(lo < hi) & (lo2 < hi2) & (e <= allowed) & use for lo, hi, lo2, hi2, e, use in parts]
             stack.append(tuple(np.concatenate([p[i][k] for p, k in zip(parts, kept, strict=True)]) for i in range(5)) + (bit + 1,))
-    root = sets.flatten()
-    moved = np.flatnonzero(root != np.arange(n))
-    return moved, root[moved]
+    return np.concatenate([a for a, _ in used]), np.concatenate([b for _, b in used])
 
 
 def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """(a, b): links among distinct fingerprints (column fp) that connect all pairs within the budget.
+    """(number, a, b): links among distinct fingerprints (number, fp) that connect all pairs of one number within
+    the budget.
 
     Cut into budget + 1 equal blocks, two fingerprints within the budget agree in one block at least. So each
     fingerprint goes once for each block to the trie that has this block's bits on top, and tries are dealt out
-    by those bits: no pair of fingerprints within the budget is missed, and a shuffle row is 20 bytes.
+    by those bits: no pair of fingerprints within the budget is missed, and a shuffle row is a few bytes.
     """
     blocks = budget + 1
     width = _BITS // blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = {}
+        got: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            turn, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for t in np.unique(turn):
-                got.setdefault(int(t), []).append(fp[turn == t])
-        for t, parts in got.items():
+            number, turn, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            both = number.astype(np.int64) * blocks + turn
+            for t in np.unique(both).tolist():
+                got.setdefault(divmod(t, blocks), []).append(fp[both == t])
+        for (number, t), parts in got.items():
             shift = np.uint64(t * width)
             turned = np.concatenate(parts)
             keys = np.unique(turned << shift | turned >> (np.uint64(_BITS) - shift) if t else turned)
             a, b = (keys[x] for x in trie_links(keys, width, budget))
             back = (lambda x, s=shift: x >> s | x << (np.uint64(_BITS) - s)) if t else (lambda x: x)
             for at in range(0, len(a), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(back(x[at : at + 65536]).view(np.int64)) for x in (a, b)], names=["a", "b"])
+                own = [pa.array(back(x[at : at + 65536]).view(np.int64)) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), number, np.int32)), *own], names=["number", "a", "b"])
 
-    turns = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("turn"), "fp")
+    turns = distinct.select("number", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("turn"), "fp")
     rotated = F.expr(f"shiftleft(fp, turn * {width}) | if(turn = 0, 0L, shiftrightunsigned(fp, {_BITS} - turn * {width}))")
     head = F.shiftrightunsigned(rotated, _BITS - width)
-    return turns.withColumn("head", head).repartition("turn", "head").select("turn", "fp").mapInArrow(run, "a long, b long")
+    return turns.withColumn("head", head).repartition("number", "turn", "head").select("number", "turn", "fp").mapInArrow(run, "number int, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -169,16 +197,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
     Repeated rows of one doc_id stay rows. A row without doc_id links its neighbours but can't name a component;
     where no member has a doc_id, component_id is null. Other columns are ignored. No row in, no row out.
     """
-    marked = cut(fingerprints(docs, shingle))
+    marked = cut(fingerprints(docs, shingle).drop("number"))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    joined = connected_components(links(classes, budget), "a", "b").withColumnRenamed("node", "fp")
+    joined = connected_components(links(classes.withColumn("number", F.lit(0)), budget), "a", "b").withColumnRenamed("node", "fp")
     named = classes.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = cut(named.select("fp", "component").join(least, "component").select("fp", "component_id"))
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its component; rows without doc_id stay."""
-    gone = near_duplicates(docs.where("doc_id is not null"), shingle, budget).where("doc_id != component_id").select("doc_id").distinct()
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s): the distinct shingle hashes of each text; rows of one doc_id count as one, by their first text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1024):
+                sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in utf8(batch.column(1))]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "s"])
+
+    one = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
+    return one.mapInArrow(run, "doc_id long, s array<long>")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3, prints: int = 1, check: tuple[int, float] | None = None) -> DataFrame:
+    """The rows of docs whose doc_id is the least of its group; rows without doc_id stay.
+
+    Documents are linked if any of their ``prints`` fingerprints, which hash the same shingles differently, are
+    within the budget. One fingerprint finds only a part of the pairs that are similar enough; each further one has
+    the same chance again. ``check`` = (words, share) keeps a link only if the two texts share that part of their
+    distinct shingles of so many words. Links are as many as documents at most, whatever the size of a group.
+    """
+    known = docs.where("doc_id is not null")
+    marked = cut(fingerprints(known, shingle, prints))
+    classes = cut(marked.groupBy("number", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    members = marked.join(classes.where("n > 1"), ["number", "fp"]).where("doc_id != first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    near = links(classes.select("number", "fp"), budget)
+    ends = [classes.select("number", F.col("fp").alias(e), F.col("first_id").alias(f"{e}_id")) for e in "ab"]
+    across = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    pairs = cut(members.unionByName(across).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if check:
+        words, share = check
+        touched = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        sets = cut(shingle_sets(known.select("doc_id", "text").join(sized(cut(touched), 200_000), "doc_id", "left_semi"), words))
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - common
+        pairs = both.where((union == 0) | (common >= share * union)).select("a", "b")
+    found = connected_components(pairs, "a", "b")
+    gone = cut(found.where("node != component").select(F.col("node").alias("doc_id")))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
