@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from foliant.llm import decontaminate, linededup, packing, pu, simhash
 from foliant.llm.common import cut, new_folder, read
 
-#: A document that keeps less than this share of its words is a copy of earlier text and goes as a whole.
-LEAST_SHARE = 0.3
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier doesn't reject."""
@@ -25,11 +22,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand in earlier ones; one of which hardly anything is left goes."""
-    done = linededup.dedup_lines(docs)
-    before = F.size(F.split(F.btrim(docs["text"], F.lit(" \t\r\n")), r"[ \t\r\n]+"))
-    words = docs.select("doc_id", before.alias("own_words")).groupBy("doc_id").agg(F.max("own_words").alias("own_words"))
-    kept = done.join(words, "doc_id", "left").where(f"removed_units = 0 or own_words is null or (words_left > 0 and words_left >= {LEAST_SHARE} * own_words)")
+    """Documents without the passages that stand in earlier ones; only one of which no word is left goes.
+
+    A cut passage stands at an earlier place, which is kept or stands earlier still: so every text is kept once.
+    """
+    kept = linededup.dedup_lines(docs).where("removed_units = 0 or words_left > 0")
     return kept.select(*(F.when(F.col("removed_units") > 0, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

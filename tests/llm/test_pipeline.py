@@ -43,6 +43,15 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in tokens.collect()} == ids[4]
 
 
+def test_line_stage_loses_no_text(spark):
+    text = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    p, q, r = text("p", 80), text("q", 80), text("r", 60)
+    rows = [(1, f"{q}\n{p}"), (2, f"{q}\n{p}\n{text('own', 20)}"), (3, "\n".join([r] * 9)), (4, f"{q}\n{r}\n{text('new', 10)}"), (5, f"{p}\n{q}")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {x.doc_id: x.text.split() for x in corpus_pipeline.lines(spark, docs, DATA).collect()}
+    assert left == {1: f"{q} {p}".split(), 2: text("own", 20).split(), 3: r.split(), 4: text("new", 10).split()}
+
+
 def test_pipeline_takes_empty_and_odd_tables(spark, tmp_path):
     odd = [(1, None, "en", "s", None), (2, "", "en", "s", 0), (None, "no id " * 20, "en", "s", 120), (3, "same text here", "en", "s", 14), (3, "same text here", "en", "s", 14)]
     for name, rows in (("empty", []), ("odd", odd)):
