@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import cut, sized, slices, utf8
+from foliant.llm.common import bounded, cut, sized, slices, utf8
 from foliant.llm.components import connected_components
 
 _BITS = 64
@@ -206,19 +206,132 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, s): the distinct shingle hashes of each text; rows of one doc_id count as one, by their first text."""
+#: Documents whose shingles are counted to find the common ones, and the most common ones that are kept.
+_SAMPLE, _COMMON = 10_000, 1 << 17
+#: The least hashes of a set by which the first round of links meets.
+_FIRST = 4
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a bounded sample have, ascending, with their counts there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 256):
+                sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["token"])
+
+    tokens = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")), _SAMPLE, 5, "doc_id").select("text").mapInArrow(run, "token long")
+    found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "token").limit(_COMMON).toArrow()
+    token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def shingle_sets(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray], prints: int = 0, print_shingle: int = 3) -> DataFrame:
+    """(doc_id, s, fps): the distinct shingle hashes of each row's text, rare ones first, and its fingerprints."""
+    known, counts = (np.append(x, 0) for x in common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1024):
-                sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in utf8(batch.column(1))]
+            for batch in slices(whole, 512):
+                texts = utf8(batch.column(1))
+                sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in texts]
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "s"])
+                flat = np.concatenate([np.zeros(0, np.int64), *sets])
+                at = np.searchsorted(known[:-1], flat)
+                count = np.where((known[at] == flat) & (at < len(known) - 1), counts[at], 0)
+                flat = flat[np.lexsort((flat, count, np.repeat(np.arange(len(sets)), np.diff(ends))))]
+                own = [[majority(mixed(h, k)) for k in range(prints)] for h in (shingle_hashes(x, print_shingle) for x in texts)] if prints else []
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * prints), pa.array(np.array(own, np.uint64).ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), fps], names=["doc_id", "s", "fps"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, s array<long>, fps array<long>")
 
-    one = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
-    return one.mapInArrow(run, "doc_id long, s array<long>")
+
+def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
+    """(a, b), a > b: members of one token's group (token, size, place, id, part) whose sizes and places allow the share.
+
+    ``neighbours``: only those next to each other by size. Members of one part are no pair. Tokens come sorted; of a
+    token that goes on in the next batch, the rows wait for it.
+    """
+
+    def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low, step = np.arange(len(token)), 0
+        while True:
+            step += 1
+            low = low[low + step < len(token)]
+            high = low + step
+            fit = (token[low] == token[high]) & (size[low] >= share * size[high] * (1 - 1e-9))
+            low, high = low[fit], high[fit]
+            if not len(low):
+                return
+            most = np.minimum(size[low] - place[low], size[high] - place[high])
+            use = (part[low] != part[high]) & (most >= share / (1 + share) * (size[low] + size[high]) * (1 - 1e-9))
+            x, y = ids[low[use]], ids[high[use]]
+            both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+            both = both[both[:, 0] != both[:, 1]]
+            for at in range(0, len(both), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 65536, k].copy()) for k in (0, 1)], names=["a", "b"])
+            if neighbours:
+                return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            last = held[-1][0][-1]
+            if held[0][0][0] != last:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                done = int(np.flatnonzero(whole[0] != last)[-1]) + 1
+                yield from pairs(*(c[:done] for c in whole))
+                held = [[c[done:] for c in whole]]
+        if held:
+            yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part").mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(docs: DataFrame, shingle: int, share: float, prints: int = 0, budget: int = 3, print_shingle: int = 3) -> DataFrame:
+    """(a, b): links that connect documents exactly as all pairs would that share ``share`` of their distinct shingles.
+
+    Texts of equal shingles are one class. Two sets of a share of t or more have a token in common within the first
+    n - t n + 1 of each, in any order of tokens that is the same for all; rare tokens go first, so that groups stay
+    small, and places and sizes exclude further pairs. A first round tests neighbours only; the second one tests all
+    pairs that aren't linked by then, so a dense cluster of true copies doesn't cost its square. Every pair is
+    tested on the whole sets before it links. ``prints`` > 0 asks for fingerprints within the budget as well.
+    """
+    one = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
+    sets = cut(shingle_sets(one, shingle, common_shingles(docs.where("doc_id is not null"), shingle), prints, print_shingle))
+    keyed = sets.select("doc_id", F.size("s").alias("size"), F.xxhash64("s", "fps").alias("k1"), F.hash("s").alias("k2"))
+    classes = keyed.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    equal = cut(keyed.join(classes.where("n > 1"), ["size", "k1", "k2"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    own = sets.join(sized(equal.select(F.col("a").alias("doc_id")), 200_000), "doc_id", "left_anti")
+    head = F.size("s") - F.ceil(F.size("s") * share * (1 - 1e-9)).cast("int") + 1
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        touched = sized(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), 200_000)
+        few = own.join(touched, "doc_id", "left_semi")
+        left, right = (few.select(F.col("doc_id").alias(e), F.col("s").alias(f"s{e}"), F.col("fps").alias(f"fps{e}")) for e in "ab")
+        both = pairs.join(left, "a").join(right, "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - common
+        test = (union == 0) | (common >= share * union)
+        if prints:
+            test &= F.exists(F.zip_with("fpsa", "fpsb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= budget), lambda x: x)
+        return cut(both.where(test).select("a", "b"))
+
+    least = own.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), F.col("doc_id").alias("part"), F.lit(0).alias("place"), F.explode(F.slice(F.array_sort("s"), 1, _FIRST)).alias("token"))
+    near = verified(_meetings(least, share, True))
+    joined = sized(cut(connected_components(near, "a", "b").withColumnRenamed("node", "doc_id")), 200_000)
+    parted = own.join(joined, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    leading = parted.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), "part", F.posexplode(F.slice("s", 1, head)).alias("place", "token"))
+    rest = verified(_meetings(leading, share, False))
+    return equal.unionByName(near).unionByName(rest)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3, prints: int = 1, check: tuple[int, float] | None = None) -> DataFrame:
@@ -226,25 +339,21 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3, prints: int = 1
 
     Documents are linked if any of their ``prints`` fingerprints, which hash the same shingles differently, are
     within the budget. One fingerprint finds only a part of the pairs that are similar enough; each further one has
-    the same chance again. ``check`` = (words, share) keeps a link only if the two texts share that part of their
-    distinct shingles of so many words. Links are as many as documents at most, whatever the size of a group.
+    the same chance again. ``check`` = (words, share) links only texts that share that part of their distinct
+    shingles of so many words; every such pair is found and tested itself, and with ``prints`` = 0 the check alone
+    decides, so that no pair of that share stays.
     """
     known = docs.where("doc_id is not null")
-    marked = cut(fingerprints(known, shingle, prints))
-    classes = cut(marked.groupBy("number", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    members = marked.join(classes.where("n > 1"), ["number", "fp"]).where("doc_id != first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
-    near = links(classes.select("number", "fp"), budget)
-    ends = [classes.select("number", F.col("fp").alias(e), F.col("first_id").alias(f"{e}_id")) for e in "ab"]
-    across = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    pairs = cut(members.unionByName(across).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if check:
-        words, share = check
-        touched = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = cut(shingle_sets(known.select("doc_id", "text").join(sized(cut(touched), 200_000), "doc_id", "left_semi"), words))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        pairs = both.where((union == 0) | (common >= share * union)).select("a", "b")
+        pairs = alike(known, *check, prints, budget, shingle)
+    else:
+        marked = cut(fingerprints(known, shingle, prints))
+        classes = cut(marked.groupBy("number", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+        members = marked.join(classes.where("n > 1"), ["number", "fp"]).where("doc_id != first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+        near = links(classes.select("number", "fp"), budget)
+        ends = [classes.select("number", F.col("fp").alias(e), F.col("first_id").alias(f"{e}_id")) for e in "ab"]
+        across = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        pairs = cut(members.unionByName(across).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     found = connected_components(pairs, "a", "b")
     gone = cut(found.where("node != component").select(F.col("node").alias("doc_id")))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -115,6 +115,15 @@ def test_simhash_with_more_prints_finds_more_near_copies(spark):
     assert len(strict) == 240
 
 
+def test_checked_fingerprints_test_every_pair(spark):
+    """Three texts of one fingerprint, of which only the last two are alike: the first can't stand for the second."""
+    same, tails = " ".join([passage(9, 1)] * 300), [passage(80, k) for k in (2, 3)]
+    rows = [(0, f"{same} {tails[0]}"), (1, f"{same} {tails[1]}"), (2, f"{same} {tails[1]} end")]
+    assert len({simhash.fingerprint(t.encode()) for _, t in rows}) == 1
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), check=(5, 0.8)).collect()}
+    assert got == {0, 1}
+
+
 @pytest.mark.parametrize("depth", [0, 5])
 def test_trie_join_links_like_all_pairs(depth):
     rng = np.random.default_rng(depth)
