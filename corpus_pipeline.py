@@ -31,9 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: eight fingerprints within 4 bits find the pairs, of which
-    those count that share 0.8 of their five-word shingles."""
-    return simhash.keep_one(docs, budget=4, prints=8, check=(5, 0.8))
+    """The first document of each group of near-duplicates: texts that share 0.8 of their five-word shingles."""
+    return simhash.keep_one(docs, prints=0, check=(5, 0.8))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

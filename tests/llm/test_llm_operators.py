@@ -115,6 +115,47 @@ def test_simhash_with_more_prints_finds_more_near_copies(spark):
     assert len(strict) == 240
 
 
+def edited(words, places, tag):
+    """The words with others at these places."""
+    return [f"{tag}x{k}" if k in places else w for k, w in enumerate(words)]
+
+
+def brute_kept(rows, share):
+    """The least id of each group of texts that share so much of their five-word shingles."""
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for d, t in rows}
+    up = {d: d for d in sets}
+
+    def top(d):
+        return d if up[d] == d else top(up[d])
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {d for d in up if up[d] == d}
+
+
+@pytest.mark.parametrize("bounds", [None, (20, 3)])
+def test_checked_links_leave_no_near_pair(spark, monkeypatch, bounds):
+    """Substitutions and dropped tails around the bound of 0.8, and pairs in a template whose texts differ elsewhere."""
+    if bounds:
+        monkeypatch.setattr(simhash, "_SAMPLE", bounds[0])
+        monkeypatch.setattr(simhash, "_COMMON", bounds[1])
+    rng, rows = random.Random(4), []
+    for k in range(60):
+        own = passage(200, 500 + k).split()
+        rows += [(k, own), (1000 + k, edited(own, set(rng.sample(range(200), 1 + k % 6)), f"e{k}")), (2000 + k, own[: 150 + k]), (3000 + k, edited(own, {5, 90}, f"f{k}"))]
+    frame = passage(150, 9).split()
+    for k in range(60):
+        own = frame + passage(60, 900 + k).split()
+        rows += [(5000 + 2 * k, own), (5001 + 2 * k, edited(own, {100 + k % 9}, f"g{k}"))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), prints=0, check=(5, 0.8)).collect()}
+    assert got == brute_kept(rows, 0.8)
+    assert 60 < len(got) < len(rows)
+
+
 def test_checked_fingerprints_test_every_pair(spark):
     """Three texts of one fingerprint, of which only the last two are alike: the first can't stand for the second."""
     same, tails = " ".join([passage(9, 1)] * 300), [passage(80, k) for k in (2, 3)]
