@@ -25,7 +25,7 @@ def units(text: Column) -> Column:
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, u): hash and number of words of every unit, one row for each text of a doc_id."""
+    """(doc_id, text_hash, h, w): hash and number of words of every unit, one row for each text of a doc_id."""
     known = docs.where("doc_id is not null and text is not null")
     plain = F.regexp_extract_all(F.col("text"), F.lit(_UNIT), 1)
     rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), plain.alias("u"))
@@ -33,7 +33,7 @@ def _digests(docs: DataFrame) -> DataFrame:
     def digest(unit: Column) -> Column:
         return F.struct(F.xxhash64(F.rtrim(unit)).alias("h"), F.size(F.split(unit, " ")).alias("w"))
 
-    return rows.select(*_KEY, F.transform("u", digest).alias("u")).dropDuplicates([*_KEY])
+    return rows.select(*_KEY, F.transform("u", digest).alias("u")).select(*_KEY, "u.h", "u.w").dropDuplicates([*_KEY])
 
 
 def winnow(digests: DataFrame, gram: int, window: int) -> DataFrame:
@@ -44,7 +44,7 @@ def winnow(digests: DataFrame, gram: int, window: int) -> DataFrame:
     share holds one of these windows whole, so both select the same gram of it. ``before`` is the last place of
     the same fingerprint in its text.
     """
-    each = digests.repartition(*_KEY).select(*_KEY, F.size("u").alias("n"), F.posexplode("u").alias("pos", "u"))
+    each = digests.repartition(*_KEY).select(*_KEY, F.size("h").alias("n"), F.posexplode(F.arrays_zip("h", "w")).alias("pos", "u"))
     own = Window.partitionBy(*_KEY)
     at = F.sum("u.w").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("u.w")
     placed = each.select(*_KEY, "n", "pos", "u.h", "u.w", at.alias("at"))
@@ -66,7 +66,6 @@ def _candidates(marks: DataFrame) -> DataFrame:
     opening = marks.where("before is null")
     first = opening.groupBy("g").agg(F.min(F.struct(*_KEY, "pos")).alias("f"), F.count("*").alias("many")).where("many > 1")
     first = first.select("g", F.col("f.doc_id").alias("source"), F.col("f.text_hash").alias("source_hash"), F.col("f.pos").alias("source_pos"))
-    first = sized(cut(first), 400_000)
     across = opening.join(first, "g").where("doc_id != source or text_hash != source_hash")
     across = across.select(*_KEY, "n", "source", "source_hash", (F.col("source_pos") - F.col("pos")).alias("shift"))
     itself = (F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"))
@@ -88,21 +87,21 @@ def repeated_runs(docs: DataFrame, gram: int = 30, window: int = 20) -> DataFram
     digests = cut(_digests(docs))
     marks = cut(winnow(digests, gram, window))
     pairs = sized(cut(_candidates(marks)), 400_000)
-    theirs = digests.select(F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"), F.col("u.h").alias("source_h"))
+    theirs = digests.select(F.col("doc_id").alias("source"), F.col("text_hash").alias("source_hash"), F.col("h").alias("source_h"))
     lo = F.greatest(F.lit(0), -F.col("shift"))
     count = F.greatest(F.least(F.col("n"), F.size("source_h") - F.col("shift")) - lo, F.lit(0))
     overlap = F.slice("source_h", lo + F.col("shift") + 1, count)
     met = pairs.join(theirs, ["source", "source_hash"]).select(*_KEY, "source", lo.alias("lo"), overlap.alias("theirs"))
-    both = sized(cut(met), 20_000).join(digests, [*_KEY])
+    both = sized(cut(met), 2_000).join(digests, [*_KEY])
     n_both = F.size("theirs")
-    same = lambda i: (i >= 0) & (i < n_both) & (F.get("u", F.col("lo") + i)["h"] == F.get("theirs", i))
+    same = lambda i: (i >= 0) & (i < n_both) & (F.get("h", F.col("lo") + i) == F.get("theirs", i))
     at = F.when(n_both > 0, F.sequence(F.lit(0), n_both - 1)).otherwise(F.array().cast("array<int>"))
     begins = F.filter(at, lambda i: same(i) & ~same(i - 1))
     ends = F.filter(at, lambda i: same(i) & ~same(i + 1))
     zipped = F.arrays_zip(begins.alias("lo"), ends.alias("hi"))
     runs = F.transform(zipped, lambda r: F.struct((r["lo"] + F.col("lo")).alias("lo"), (r["hi"] + F.col("lo")).alias("hi"), F.col("source").alias("source")))
-    words = lambda r: F.aggregate(F.slice("u", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, u: a + u["w"])
-    found = both.select(*_KEY, F.size("u").alias("n_units"), F.filter(runs, lambda r: words(r) >= gram).alias("runs")).where(F.size("runs") > 0)
+    words = lambda r: F.aggregate(F.slice("w", r["lo"] + 1, r["hi"] - r["lo"] + 1), F.lit(0), lambda a, w: a + w)
+    found = both.select(*_KEY, F.size("h").alias("n_units"), F.filter(runs, lambda r: words(r) >= gram).alias("runs")).where(F.size("runs") > 0)
     merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs"))))
     return found.groupBy(*_KEY).agg(F.first("n_units").alias("n_units"), merged.alias("runs"))
 
