@@ -111,7 +111,9 @@ def dedup_lines(docs: DataFrame, gram: int = 30, window: int = 20) -> DataFrame:
 
     Of a passage that several documents (or places) share, the occurrence with the least (doc_id, hash of the
     text, place) stays. Runs of gram + window - 1 words or more are always found, whatever blank lines stand
-    between their lines; shorter ones from ``gram`` words on where a fingerprint falls into them. Runs of fewer
+    between their lines; shorter ones from ``gram`` words on where a fingerprint falls into them. Where parts of a
+    run stand in still earlier texts, it is compared with those, and up to a window of words may stay at each end
+    of it. Runs of fewer
     than ``gram`` words stay, however often they repeat: a short line is no evidence of copying. Words are
     counted by the spaces between them.
 

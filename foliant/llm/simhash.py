@@ -32,7 +32,7 @@ def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42) -> np.ndarray:
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, len(words) - shingle + 1)
 
 
 def mixed(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -295,18 +295,34 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part").mapInArrow(run, "a long, b long").distinct()
 
 
-def alike(docs: DataFrame, shingle: int, share: float, prints: int = 0, budget: int = 3, print_shingle: int = 3) -> DataFrame:
+def _fingerprint_pairs(rows: DataFrame, budget: int) -> DataFrame:
+    """(a, b): links of the fingerprints ``fps`` of rows (doc_id, fps), as pairs of documents, a > b.
+
+    Documents of one fingerprint link to the least of them; of two fingerprints within the budget, the least
+    documents link.
+    """
+    marked = rows.select("doc_id", F.posexplode("fps").alias("number", "fp"))
+    classes = cut(marked.groupBy("number", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    same = marked.join(classes.where("n > 1"), ["number", "fp"]).select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
+    ends = [classes.select("number", F.col("fp").alias(e), F.col("first_id").alias(f"{e}_id")) for e in "ab"]
+    near = links(classes.select("number", "fp"), budget).join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"])
+    both = same.unionByName(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    return both.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def alike(docs: DataFrame, shingle: int, share: float, prints: int = 4, budget: int = 4, print_shingle: int = 3) -> DataFrame:
     """(a, b): links that connect documents exactly as all pairs would that share ``share`` of their distinct shingles.
 
-    Texts of equal shingles are one class. Two sets of a share of t or more have a token in common within the first
-    n - t n + 1 of each, in any order of tokens that is the same for all; rare tokens go first, so that groups stay
-    small, and places and sizes exclude further pairs. A first round tests neighbours only; the second one tests all
-    pairs that aren't linked by then, so a dense cluster of true copies doesn't cost its square. Every pair is
-    tested on the whole sets before it links. ``prints`` > 0 asks for fingerprints within the budget as well.
+    Texts of equal shingles are one class. First the trie join of the classes' ``prints`` SimHash fingerprints
+    proposes pairs within ``budget`` bits, and every pair is tested on its whole sets before it links. A fingerprint
+    misses a part of the pairs near the bound, so an exact check follows for what isn't linked by then: two sets of
+    a share of t or more have a token in common within the first n - t n + 1 of each, in any order of tokens that is
+    the same for all; rare tokens go first, so that groups stay small, and places and sizes exclude further pairs.
+    Pairs that verified links have joined aren't tested again, so a dense cluster doesn't cost its square.
     """
     one = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
     sets = cut(shingle_sets(one, shingle, common_shingles(docs.where("doc_id is not null"), shingle), prints, print_shingle))
-    keyed = sets.select("doc_id", F.size("s").alias("size"), F.xxhash64("s", "fps").alias("k1"), F.hash("s").alias("k2"))
+    keyed = sets.select("doc_id", F.size("s").alias("size"), F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"))
     classes = keyed.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     equal = cut(keyed.join(classes.where("n > 1"), ["size", "k1", "k2"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     own = sets.join(sized(equal.select(F.col("a").alias("doc_id")), 200_000), "doc_id", "left_anti")
@@ -316,17 +332,14 @@ def alike(docs: DataFrame, shingle: int, share: float, prints: int = 0, budget:
         pairs = cut(pairs)
         touched = sized(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), 200_000)
         few = own.join(touched, "doc_id", "left_semi")
-        left, right = (few.select(F.col("doc_id").alias(e), F.col("s").alias(f"s{e}"), F.col("fps").alias(f"fps{e}")) for e in "ab")
+        left, right = (few.select(F.col("doc_id").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
         both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         union = F.size("sa") + F.size("sb") - common
-        test = (union == 0) | (common >= share * union)
-        if prints:
-            test &= F.exists(F.zip_with("fpsa", "fpsb", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= budget), lambda x: x)
-        return cut(both.where(test).select("a", "b"))
+        return cut(both.where((union == 0) | (common >= share * union)).select("a", "b"))
 
     least = own.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), F.col("doc_id").alias("part"), F.lit(0).alias("place"), F.explode(F.slice(F.array_sort("s"), 1, _FIRST)).alias("token"))
-    near = verified(_meetings(least, share, True))
+    near = verified(_fingerprint_pairs(own, budget).unionByName(_meetings(least, share, True)).distinct())
     joined = sized(cut(connected_components(near, "a", "b").withColumnRenamed("node", "doc_id")), 200_000)
     parted = own.join(joined, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     leading = parted.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), "part", F.posexplode(F.slice("s", 1, head)).alias("place", "token"))
@@ -338,10 +351,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3, prints: int = 1
     """The rows of docs whose doc_id is the least of its group; rows without doc_id stay.
 
     Documents are linked if any of their ``prints`` fingerprints, which hash the same shingles differently, are
-    within the budget. One fingerprint finds only a part of the pairs that are similar enough; each further one has
-    the same chance again. ``check`` = (words, share) links only texts that share that part of their distinct
-    shingles of so many words; every such pair is found and tested itself, and with ``prints`` = 0 the check alone
-    decides, so that no pair of that share stays.
+    within the budget. ``check`` = (words, share) links exactly the texts that share that part of their distinct
+    shingles of so many words: fingerprints propose, every pair is tested itself, and an exact check finds the pairs
+    that no fingerprint proposed, so that no pair of that share stays.
+    Null and empty texts have no shingle and are copies of each other; rows that repeat a doc_id are one document
+    (its least text) and stay or go together. Other columns stay; an empty table stays empty.
     """
     known = docs.where("doc_id is not null")
     if check:

@@ -108,10 +108,11 @@ def test_simhash_with_more_prints_finds_more_near_copies(spark):
             near[at] = f"edit{at}"
         rows += [(k, " ".join(own)), (1000 + k, " ".join(near))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = ({r.doc_id for r in simhash.keep_one(docs, budget=b, prints=n, check=(5, 0.75)).collect()} for b, n in ((3, 1), (4, 8)))
+    one, many = ({r.doc_id for r in simhash.keep_one(docs, budget=b, prints=n).collect()} for b, n in ((3, 1), (4, 8)))
     assert set(range(120)) <= many < one
-    assert len(many) <= 120 + 40
-    strict = {r.doc_id for r in simhash.keep_one(docs, budget=4, prints=8, check=(5, 0.99)).collect()}
+    checked = {r.doc_id for r in simhash.keep_one(docs, budget=4, prints=4, check=(5, 0.75)).collect()}
+    assert checked == brute_kept(rows, 0.75) == set(range(120))
+    strict = {r.doc_id for r in simhash.keep_one(docs, budget=4, prints=4, check=(5, 0.99)).collect()}
     assert len(strict) == 240
 
 
@@ -151,7 +152,7 @@ def test_checked_links_leave_no_near_pair(spark, monkeypatch, bounds):
         own = frame + passage(60, 900 + k).split()
         rows += [(5000 + 2 * k, own), (5001 + 2 * k, edited(own, {100 + k % 9}, f"g{k}"))]
     rows = [(d, " ".join(w)) for d, w in rows]
-    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), prints=0, check=(5, 0.8)).collect()}
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), budget=4, prints=4, check=(5, 0.8)).collect()}
     assert got == brute_kept(rows, 0.8)
     assert 60 < len(got) < len(rows)
 
@@ -219,6 +220,58 @@ def test_line_dedup_finds_every_long_repeat(spark):
     assert all(r.text == t for r, (_, t) in zip(spark.createDataFrame(rows[:1], "doc_id long, text string").collect(), rows[:1], strict=True))
 
 
+def test_line_dedup_does_not_mind_blank_lines(spark):
+    lines = [passage(10, 40 + k) for k in range(8)]
+    rows = [(1, "Own.\n" + "\n".join(lines)), (2, "\n\n".join(lines)), (3, "\n \t\n".join(lines) + "\r\nLast words."), (4, "\n".join(lines[:4]) + "\n\n\n" + "\n".join(lines[4:]))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d].text.strip() for d in (1, 2, 3, 4)] == [rows[0][1], "", "Last words.", ""]
+    assert (got[1].removed_units, got[1].n_units) == (0, None)
+    assert all(got[d].removed_units >= 8 for d in (2, 3, 4))
+    assert (got[2].words_left, got[3].words_left) == (0, 2)
+
+
+def test_line_dedup_takes_every_text_of_an_id(spark):
+    p, q = passage(80, 70), passage(80, 71)
+    rows = [(1, p), (2, f"{q}\nfirst of two"), (2, f"{p}\nsecond of two"), (3, q), (3, q)]
+    got = sorted(r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([p, f"{q}\nfirst of two", "second of two", "", ""])
+
+
+def brute_lines(rows, least, margin=0):
+    """Units of each text outside runs of ``least`` words or more that stand earlier in it or in an earlier text, and
+    those of such runs that lie within ``margin`` words of their ends."""
+    split = {d: [(u.strip(), len(u.split())) for u in re.split(r"(?<=\n)|(?<=[.!?…] )", t) if u.strip()] for d, t in rows}
+    gone = {d: set() for d in split}
+    for d, own in split.items():
+        for e, other in split.items():
+            if e > d:
+                continue
+            for i in range(len(own)):
+                for j in range(len(other) if e < d else i):
+                    n = 0
+                    while i + n < len(own) and j + n < len(other) and own[i + n][0] == other[j + n][0]:
+                        n += 1
+                    size = [w for _, w in own[i : i + n]]
+                    if sum(size) >= least:
+                        gone[d] |= {i + k for k in range(n) if sum(size[:k]) >= margin and sum(size[k + 1 :]) >= margin}
+    return {d: [u for k, (u, _) in enumerate(own) if k not in gone[d]] for d, own in split.items()}
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Everything cut repeats earlier for 30 words, and of every earlier repeat of 49 words only ends may stay."""
+    rng, pool, rows = random.Random(8), [passage(rng_n, 300 + rng_n) for rng_n in range(3, 25)], []
+    shared = ["\n".join(rng.sample(pool, 5)) for _ in range(6)]
+    for d in range(50):
+        parts = [rng.choice([*shared, *pool, *pool, "", passage(rng.randint(2, 20), 5000 + 10 * d + k)]) for k in range(8)]
+        rows.append((d, rng.choice(["\n", "\n\n"]).join(parts)))
+    got = {r.doc_id: [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?…] )", r.text) if u.strip()] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    most, least = brute_lines(rows, 30), brute_lines(rows, 49, 28)
+    for d, _ in rows:
+        assert not Counter(got[d]) - Counter(least[d])
+        assert not Counter(most[d]) - Counter(got[d])
+    assert sum(map(len, got.values())) < sum(len(t.split("\n")) for _, t in rows)
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = linededup.dedup_lines(odd).collect()
     assert len(got) == len(ODD)
