@@ -228,26 +228,57 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     return token[order], n[order]
 
 
-def shingle_sets(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray], prints: int = 0, print_shingle: int = 3) -> DataFrame:
-    """(doc_id, s, fps): the distinct shingle hashes of each row's text, rare ones first, and its fingerprints."""
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s): the distinct shingle hashes of each row's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 512):
+                sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in utf8(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["doc_id", "s"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>")
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
+
+
+def shingle_heads(docs: DataFrame, shingle: int, share: float, common: tuple[np.ndarray, np.ndarray], prints: int, print_shingle: int) -> DataFrame:
+    """What finds a row's partners, without its whole set: its size, a 128-bit hash (k1, k2) of it, its ``least``
+    hashes, its ``lead`` (as many tokens, rare ones first, as every partner of that share must meet) and its
+    fingerprints ``fps``."""
     known, counts = (np.append(x, 0) for x in common)
 
+    def head(text: bytes) -> tuple:
+        own = np.unique(shingle_hashes(text, shingle))
+        signed = own.view(np.int64)
+        at = np.searchsorted(known[:-1], signed)
+        count = np.where((known[at] == signed) & (at < len(known) - 1), counts[at], 0)
+        lead = signed[np.lexsort((signed, count))][: len(own) - int(np.ceil(len(own) * share * (1 - 1e-9))) + 1]
+        digest = np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64)
+        hashes = shingle_hashes(text, print_shingle) if prints else own
+        fps = np.array([majority(mixed(hashes, k)) for k in range(prints)], np.uint64).view(np.int64)
+        return len(own), digest[0], digest[1], np.sort(signed)[:_FIRST], lead, fps
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "size", "k1", "k2", "least", "lead", "fps"]
         for whole in batches:
             for batch in slices(whole, 512):
-                texts = utf8(batch.column(1))
-                sets = [np.unique(shingle_hashes(x, shingle)).view(np.int64) for x in texts]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.int64), *sets])
-                at = np.searchsorted(known[:-1], flat)
-                count = np.where((known[at] == flat) & (at < len(known) - 1), counts[at], 0)
-                flat = flat[np.lexsort((flat, count, np.repeat(np.arange(len(sets)), np.diff(ends))))]
-                own = [[majority(mixed(h, k)) for k in range(prints)] for h in (shingle_hashes(x, print_shingle) for x in texts)] if prints else []
-                fps = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * prints), pa.array(np.array(own, np.uint64).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), fps], names=["doc_id", "s", "fps"])
+                size, k1, k2, *lists = zip(*map(head, utf8(batch.column(1))), strict=True)
+                plain = [pa.array(np.array(size, np.int32)), pa.array(np.array(k1)), pa.array(np.array(k2))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *plain, *map(_lists, lists)], names=names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, s array<long>, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, k1 long, k2 long, least array<long>, lead array<long>, fps array<long>")
+
+
+def _one_text(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with one row for each doc_id, its least text; only texts whose id repeats are shuffled."""
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    repeated = sized(cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")), 200_000)
+    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(repeated, "doc_id", "left_anti").unionByName(least)
 
 
 def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
@@ -320,29 +351,32 @@ def alike(docs: DataFrame, shingle: int, share: float, prints: int = 4, budget:
     the same for all; rare tokens go first, so that groups stay small, and places and sizes exclude further pairs.
     Pairs that verified links have joined aren't tested again, so a dense cluster doesn't cost its square.
     """
-    one = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
-    sets = cut(shingle_sets(one, shingle, common_shingles(docs.where("doc_id is not null"), shingle), prints, print_shingle))
-    keyed = sets.select("doc_id", F.size("s").alias("size"), F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"))
-    classes = keyed.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    equal = cut(keyed.join(classes.where("n > 1"), ["size", "k1", "k2"]).where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
-    own = sets.join(sized(equal.select(F.col("a").alias("doc_id")), 200_000), "doc_id", "left_anti")
-    head = F.size("s") - F.ceil(F.size("s") * share * (1 - 1e-9)).cast("int") + 1
+    one = _one_text(docs)
+    heads = cut(shingle_heads(one, shingle, share, common_shingles(one, shingle), prints, print_shingle))
+    classes = heads.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    again = heads.select("doc_id", "size", "k1", "k2").join(classes.where("n > 1"), ["size", "k1", "k2"])
+    equal = cut(again.where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    own = heads.join(sized(equal.select(F.col("a").alias("doc_id")), 200_000), "doc_id", "left_anti")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets have the share; sets are made anew, of the texts on some pair only."""
         pairs = cut(pairs)
         touched = sized(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), 200_000)
-        few = own.join(touched, "doc_id", "left_semi")
+        few = cut(shingle_sets(one.join(touched, "doc_id", "left_semi"), shingle))
         left, right = (few.select(F.col("doc_id").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
         both = pairs.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        return cut(both.where((union == 0) | (common >= share * union)).select("a", "b"))
-
-    least = own.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), F.col("doc_id").alias("part"), F.lit(0).alias("place"), F.explode(F.slice(F.array_sort("s"), 1, _FIRST)).alias("token"))
-    near = verified(_fingerprint_pairs(own, budget).unionByName(_meetings(least, share, True)).distinct())
+        both_have = F.size(F.array_intersect("sa", "sb"))
+        union = F.size("sa") + F.size("sb") - both_have
+        return cut(both.where((union == 0) | (both_have >= share * union)).select("a", "b"))
+
+    least = own.select(F.col("doc_id").alias("id"), "size", F.col("doc_id").alias("part"), F.lit(0).alias("place"), F.explode("least").alias("token"))
+    proposed = _meetings(least, share, True)
+    if prints:
+        proposed = _fingerprint_pairs(own, budget).unionByName(proposed).distinct()
+    near = verified(proposed)
     joined = sized(cut(connected_components(near, "a", "b").withColumnRenamed("node", "doc_id")), 200_000)
     parted = own.join(joined, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    leading = parted.select(F.col("doc_id").alias("id"), F.size("s").alias("size"), "part", F.posexplode(F.slice("s", 1, head)).alias("place", "token"))
+    leading = parted.select(F.col("doc_id").alias("id"), "size", "part", F.posexplode("lead").alias("place", "token"))
     rest = verified(_meetings(leading, share, False))
     return equal.unionByName(near).unionByName(rest)
 
