@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,10 @@ class ManifestConflict(RuntimeError):
 class ShardedTable:
     """Shards are files of Parquet folders below ``root``; a version's manifest lists those that it consists of.
 
-    Readers take a version's files only, so files of failed or later jobs don't show. A manifest is written to a
-    hidden file and renamed to its version's name, which fails if that version exists: of two writers one wins.
-    Manifests hold names and sizes of files; no row passes through the driver.
+    Every write goes to a folder with a name of its own, so writers never touch each other's files, and readers take
+    a version's files only, so files of failed or later jobs don't show. A manifest is written whole to a hidden file
+    and then gets its version's name by a rename that never replaces: of several writers one wins.
+    Manifests hold names, sizes and levels of files; no row passes through the driver.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
@@ -39,18 +41,30 @@ class ShardedTable:
         version = self.version() if version is None else version
         if not version:
             return []
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.root}/manifests/v{version:08}.json", wholetext=True).collect()))
+        rows = self.spark.read.schema("name string, bytes long, level int, place int").json(f"{self.root}/manifests/v{version:08}.json")
+        return [{k: r[k] for k in ("name", "bytes", "level")} for r in sorted(rows.collect(), key=lambda r: r.place)]
 
     def commit(self, shards: list[dict], based_on: int) -> int:
-        """Make ``shards`` the next version after ``based_on``, or raise ManifestConflict."""
+        """Make ``shards`` the next version after ``based_on``, or raise ManifestConflict.
+
+        The file system refuses the rename where the version exists (atomically so on HDFS; a store without such a
+        rename needs its own committer here).
+        """
         to = self._path(f"{self.root}/manifests/v{based_on + 1:08}.json")
-        hidden = self._path(f"{self.root}/manifests/.{self.spark.sparkContext.applicationId}-{based_on + 1}-{id(shards)}")
-        out = self._fs.create(hidden, True)
-        out.write(bytearray(json.dumps(shards).encode()))
+        hidden = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
+        out = self._fs.create(hidden, False)
+        out.write(bytearray("".join(json.dumps(s | {"place": k}) + "\n" for k, s in enumerate(shards)).encode()))
         out.close()
-        if self._fs.exists(to) or not self._fs.rename(hidden, to):
+        hadoop, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        options = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        options[0] = getattr(hadoop, "Options$Rename").NONE
+        try:
+            hadoop.FileContext.getFileContext(self._fs.getUri(), conf).rename(hidden, to, options)
+        except Exception as error:
             self._fs.delete(hidden, False)
-            raise ManifestConflict(f"version {based_on + 1} exists")
+            if self._fs.exists(to):
+                raise ManifestConflict(f"version {based_on + 1} exists") from error
+            raise
         return based_on + 1
 
     def _files(self, folder: str, level: int) -> list[dict]:
@@ -66,8 +80,8 @@ class ShardedTable:
     def append(self, rows: DataFrame) -> int:
         """Write arrivals as small shards, as they come from their tasks, and commit them."""
         based_on = self.version()
-        folder = f"data/append-{based_on + 1:08}-{self.spark.sparkContext.applicationId}"
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}")
+        folder = f"data/append-{based_on + 1:08}-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return self.commit(self.shards(based_on) + self._files(folder, 0), based_on)
 
     def plan(self, shards: list[dict], target: int, fan_in: int) -> list[list[dict]]:
@@ -104,25 +118,27 @@ class ShardedTable:
         runs = self.plan(shards, target, fan_in)
         if not runs:
             return based_on
-        folder = f"data/merge-{based_on + 1:08}-{self.spark.sparkContext.applicationId}"
+        folder = f"data/merge-{based_on + 1:08}-{uuid.uuid4().hex}"
         where = {s["name"].rsplit("/", 1)[-1]: k for k, run in enumerate(runs) for s in run}
         merged = self.spark.read.parquet(*(f"{self.root}/{s['name']}" for run in runs for s in run))
         own_file, own_run = free(merged.columns, "own_file", "own_run")
         schema = T.StructType([T.StructField(own_file, T.StringType()), T.StructField(own_run, T.IntegerType())])
         plan = self.spark.createDataFrame(list(where.items()), schema)
         named = merged.withColumn(own_file, F.col("_metadata.file_name"))
-        dealt = named.join(F.broadcast(plan), own_file).drop(own_file).repartitionById(len(runs), own_run)
-        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(own_run).parquet(f"{self.root}/{folder}")
+        dealt = named.join(F.broadcast(plan) if len(where) <= 100_000 else plan, own_file).drop(own_file).repartitionById(len(runs), own_run)
+        dealt.write.option("compression", "zstd").partitionBy(own_run).parquet(f"{self.root}/{folder}")
         gone = {s["name"] for run in runs for s in run}
         return self.commit([s for s in shards if s["name"] not in gone] + self._files(folder, max(s["level"] for r in runs for s in r) + 1), based_on)
 
-    def vacuum(self) -> int:
-        """Delete data files that the last version doesn't name (older versions can't be read then); returns how many."""
-        kept = {s["name"] for s in self.shards()}
-        gone = [s for s in self._files("data", 0) if s["name"] not in kept]
-        for s in gone:
-            self._fs.delete(self._path(f"{self.root}/{s['name']}"), False)
-        return len(gone)
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the files of versions before the last ``keep``; returns how many.
+
+        Only files that an older manifest names go, so another writer's files that aren't committed yet are safe.
+        """
+        last = self.version()
+        old = {s["name"] for v in range(1, last - keep + 1) for s in self.shards(v)}
+        gone = sorted(old - {s["name"] for v in range(max(1, last - keep + 1), last + 1) for s in self.shards(v)})
+        return sum(self._fs.delete(self._path(f"{self.root}/{name}"), False) for name in gone)
 
     def read(self, schema: T.StructType, version: int | None = None) -> DataFrame:
         """The rows of a version, with the column ``shard``: the name of the file each row lies in."""
