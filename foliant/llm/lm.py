@@ -115,8 +115,9 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
     The numerator needs only counts of w, the denominator only counts of v. So every token goes once to the
     shard of its word, which has all that is known of the word: it builds the word's part of the trie (level 1:
     words; level 2: the contexts each was seen after), answers its own tokens and returns packed partial sums for
-    the documents of each block, which are added up by block. Words with over 1/256 of the tokens are dealt to shards by context as well; there are at most 256
-    of these, and only their counts are broadcast. Blocks go to shards as packed arrays with each distinct
+    the documents of each block, which are added up by block. Words with over a quarter of a shard's tokens
+    (or 1/256 of all) are dealt to shards by context as well, so no word outgrows its shard; there are at most four
+    of these for each shard, and only their counts are broadcast. Blocks go to shards as packed arrays with each distinct
     context once. Shards grow in number with the corpus (from ``least_shards`` on), not in size.
 
     Null texts and texts without a word have the end token only. Rows without doc_id count as the id text ''.
@@ -126,10 +127,11 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~held_out(F.col("doc_id"), parts, part)).alias("train"))
     counted = cut(unigrams(rows, block_tokens))
     total, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = {r.h & (2**64 - 1): r.c for r in counted.where(F.col("c") * 256 > total).collect()}
     end = counted.where(F.col("h") == F.lit(_END - 2**64 if _END >= 2**63 else _END)).first()
     starts = end.c if end else 0
     shards = max(least_shards, -(-int(total) // shard_tokens))
+    bound = max(1, min(shard_tokens // 4, int(total) // 256))
+    hot = {r.h & (2**64 - 1): r.c for r in counted.where(F.col("c") > bound).collect()}
     hot_words = np.array(sorted(hot), np.uint64)
     hot_counts = np.array([hot[h] for h in sorted(hot)], np.int64)
 
