@@ -341,7 +341,7 @@ def _fingerprint_pairs(rows: DataFrame, budget: int) -> DataFrame:
     return both.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def alike(docs: DataFrame, shingle: int, share: float, prints: int = 4, budget: int = 4, print_shingle: int = 3) -> DataFrame:
+def alike(docs: DataFrame, shingle: int, share: float, prints: int = 2, budget: int = 4, print_shingle: int = 3) -> DataFrame:
     """(a, b): links that connect documents exactly as all pairs would that share ``share`` of their distinct shingles.
 
     Texts of equal shingles are one class. First the trie join of the classes' ``prints`` SimHash fingerprints
@@ -362,7 +362,7 @@ def alike(docs: DataFrame, shingle: int, share: float, prints: int = 4, budget:
         """The pairs whose whole sets have the share; sets are made anew, of the texts on some pair only."""
         pairs = cut(pairs)
         touched = sized(cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), 200_000)
-        few = cut(shingle_sets(one.join(touched, "doc_id", "left_semi"), shingle))
+        few = shingle_sets(one.join(touched, "doc_id", "left_semi"), shingle)
         left, right = (few.select(F.col("doc_id").alias(e), F.col("s").alias(f"s{e}")) for e in "ab")
         both = pairs.join(left, "a").join(right, "b")
         both_have = F.size(F.array_intersect("sa", "sb"))
