@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.lineage import shared_folder
+
 
 def token_f1(rows: DataFrame, keys: list[str], answer: Column, gold: Column) -> DataFrame:
     """(keys, f1) from the multisets of both sides' tokens: 1 if both are empty, 0 if one is or none is shared."""
@@ -33,10 +35,7 @@ def independent_first(items: DataFrame, links: DataFrame) -> DataFrame:
     settles at least the least open item of each component; chains of links bound the number of rounds.
     """
     spark = items.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-eval-"))
+    shared_folder(spark)
     both = links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct().checkpoint()
     open_, taken = items.select("item").distinct().checkpoint(), None
     while open_.limit(1).count():

@@ -17,10 +17,15 @@ TERM = (
 WORD = f"{_W}+"
 
 
-def technical_terms(text: Column, most: int = 50_000) -> Column:
-    """Distinct terms among the words of the first 50,000 characters (all that is looked at), as spelled, in order."""
-    words = F.regexp_extract_all(F.left(text, F.lit(most)), F.lit(WORD), 0)
-    return F.array_sort(F.filter(F.array_distinct(words), lambda w: w.rlike(TERM)))
+def technical_terms(text: Column, characters: int | None = None, most: int | None = None) -> Column:
+    """Distinct terms among a text's words, as spelled, in order.
+
+    ``characters`` looks at so many of the first characters only, ``most`` keeps so many of the first terms; both are
+    off unless asked for.
+    """
+    words = F.regexp_extract_all(text if characters is None else F.left(text, F.lit(characters)), F.lit(WORD), 0)
+    found = F.array_sort(F.filter(F.array_distinct(words), lambda w: w.rlike(TERM)))
+    return found if most is None else F.slice(found, 1, most)
 
 
 def first_spelling(terms: DataFrame, term: str, order: str, *keys: str) -> DataFrame:
@@ -34,8 +39,12 @@ def upsert(rows: DataFrame, scope: str, term: str, definition: str, document: st
     return rows.groupBy(scope, term).agg(F.count_distinct(document).alias("frequency"), longest.alias("definition"), F.min(document).alias("source_document"))
 
 
+# Fixed value: the heading of a glossary's text block.
+HEADING = "## Domain-Specific Terminology (Use these definitions for accuracy)"
+
+
 def prompt(terms: Column) -> Column:
     """A text block from an ordered array of (term, category, definition); nothing without terms."""
     line = lambda t: F.concat(F.lit("- **"), t["term"], F.lit("**"), F.when(t["category"].isNotNull(), F.concat(F.lit(" ["), t["category"], F.lit("]"))).otherwise(""), F.lit(": "), t["definition"])
-    head = F.array(F.lit("## Domain-Specific Terminology (Use these definitions for accuracy)"))
+    head = F.array(F.lit(HEADING))
     return F.when(F.size(terms) > 0, F.array_join(F.concat(head, F.transform(terms, line)), "\n")).otherwise("")

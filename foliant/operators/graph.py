@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.lineage import cut
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """(node, other, ...) of every edge from both ends; a loop appears once."""
@@ -45,18 +47,14 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, by rounds of joins that halve the trees; lineage is checkpointed."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliant-graph-"))
-    ways = both_ways(edges.select("src", "dst").where("src != dst")).distinct().checkpoint()
-    labels = nodes(edges).select("node", F.col("node").alias("component")).checkpoint()
+    ways = cut(both_ways(edges.select("src", "dst").where("src != dst")).distinct())
+    labels = cut(nodes(edges).select("node", F.col("node").alias("component")))
     while True:
         near = ways.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
         lower = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        moved = lower.join(jump, "component").select("node", "old", F.col("root").alias("component")).checkpoint()
+        moved = lower.join(jump, "component").select("node", "old", F.col("root").alias("component"))
+        moved = cut(moved)
         changed = moved.where("old != component").limit(1).count()
         labels = moved.select("node", "component")
         if not changed:

@@ -223,15 +223,15 @@ def chunk_sink_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def triplet_extract(spark: SparkSession, d: str) -> DataFrame:
-    """Triplets of the first 1000 characters of texts from 50 on, by the supplied extractor (the default one here)."""
-    texts = table(spark, d, "documents").where("length(text) >= 50").select("doc_id", F.left("text", F.lit(1000)).alias("prompt"))
+    """Triplets of whole texts of 50 characters or more, by the supplied extractor (the default one here)."""
+    texts = table(spark, d, "documents").where("length(text) >= 50").select("doc_id", F.col("text").alias("prompt"))
     answers = hooks.llm_map(texts, "prompt", hooks.capitalised_pairs)
     return answers.select("doc_id", F.explode_outer(T.parse_triplets(F.col("answer"))).alias("t")).where("t is not null").select("doc_id", "t.subject", "t.relation", "t.object", "t.confidence")
 
 
-@query("select doc_id, 'echo: ' || left(text, 20) as answer, null::varchar as error from documents")
+@query("select doc_id, 'echo: ' || text as answer, null::varchar as error from documents")
 def llm_map(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.left("text", F.lit(20)).alias("prompt"))
+    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt"))
     return hooks.llm_map(rows, "prompt", "echo: {}".format).select("doc_id", "answer", "error")
 
 

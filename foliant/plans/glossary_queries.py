@@ -8,13 +8,12 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import glossary as G
-from foliant.operators.relational import first_per_key
 from foliant.plans.registry import query
 from foliant.sources.tables import table
 
-_TERMS = f"list_filter(list_distinct(regexp_extract_all(left(text, 50000), '{G.WORD}')), lambda w: regexp_matches(w, '{G.TERM}'))"
+_TERMS = f"list_filter(list_distinct(regexp_extract_all(text, '{G.WORD}')), lambda w: regexp_matches(w, '{G.TERM}'))"
 _T = f"t as (select doc_id, source, unnest({_TERMS}) as term from documents)"
-_G = f"""{_T}, kept as (select *, row_number() over (partition by doc_id order by term) as k from t), u as (select source, term, doc_id, term || ' in ' || doc_id as definition from kept where k <= 50),
+_G = f"""{_T}, u as (select source, term, doc_id, term || ' in ' || doc_id as definition from t),
 g as (select source, term, count(distinct doc_id) as frequency, arg_min(definition, (-length(definition), doc_id)) as definition, min(doc_id) as source_document from u group by source, term)"""
 
 
@@ -24,9 +23,8 @@ def terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def glossary(spark: SparkSession, d: str) -> DataFrame:
-    """At most 50 terms of each document, by term, merged for each source."""
-    few = first_per_key(terms(spark, d), ["doc_id"], "term", most=50)
-    return G.upsert(few.withColumn("definition", F.concat("term", F.lit(" in "), "doc_id")), "source", "term", "definition", "doc_id")
+    """The terms of all documents, merged for each source."""
+    return G.upsert(terms(spark, d).withColumn("definition", F.concat("term", F.lit(" in "), "doc_id")), "source", "term", "definition", "doc_id")
 
 
 @query(f"with {_T} select doc_id, count(*) as n, md5(string_agg(term, '|' order by term)) as terms_md5 from t group by doc_id")
@@ -40,9 +38,9 @@ def entity_dedup(spark: SparkSession, d: str) -> DataFrame:
     return G.first_spelling(kept, "term", "place", "doc_id")
 
 
-@query(f"with {_T}, k as (select *, row_number() over (partition by doc_id order by term) as k from t) select doc_id, term from k where k <= 50")
+@query(f"with {_T} select doc_id, term from t")
 def glossary_extract(spark: SparkSession, d: str) -> DataFrame:
-    return first_per_key(terms(spark, d).select("doc_id", "term"), ["doc_id"], "term", most=50)
+    return terms(spark, d).select("doc_id", "term")
 
 
 @query(f"with {_G} select * from g")

@@ -8,14 +8,18 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import graph as G
+from foliant.operators.lineage import cut
 from foliant.plans.registry import query
 from foliant.sources.tables import table
 
 _E = "e as (select 'p' || l_partkey as src, 's' || l_suppkey as dst, l_returnflag as type, min(l_orderkey * 8 + l_linenumber) as rel_id from lineitem group by 1, 2, 3)"
 _W = f"{_E}, ends as (select src as node, dst as other, type, rel_id from e union all select dst, src, type, rel_id from e where src <> dst)"
 _DEG = f"{_W}, deg as (select node, count(*) as degree from ends group by node)"
-#: The thin graph that closures run on.
-_THIN = "t as (select distinct 'p' || l_partkey as src, 's' || l_suppkey as dst from lineitem join part on p_partkey = l_partkey where l_quantity >= 49 and p_brand = 'Brand#1')"
+_WAYS = f"{_E}, w as (select distinct node, other from (select src as node, dst as other from e union all select dst, src from e))"
+#: Rounds of least labels over neighbours; the supply graph is settled long before the last of them.
+_ROUNDS = ", ".join(
+    f"l{k} as materialized (select a.node, least(a.c, min(b.c)) as c from l{k - 1} a join w on w.node = a.node join l{k - 1} b on b.node = w.other group by a.node, a.c)" for k in range(1, 9)
+)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -23,12 +27,6 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("src", "dst", "type").agg(F.min("rel_id").alias("rel_id"))
 
 
-def thin_edges(spark: SparkSession, d: str) -> DataFrame:
-    brand = table(spark, d, "part").where("p_brand = 'Brand#1'").select(F.col("p_partkey").alias("l_partkey"))
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49").join(brand, "l_partkey", "left_semi")
-    return rows.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
-
-
 def names(spark: SparkSession, d: str) -> DataFrame:
     """(node, name) of parts and suppliers."""
     parts = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.col("p_name").alias("name"))
@@ -157,14 +155,29 @@ def relation_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with t as (select distinct conv_id, lower(w) as w from (select conv_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) as w from conversations)),
-n as (select term, min(doc_id) as seq from (select doc_id, unnest(regexp_extract_all(lower(left(text, 200)), '[\\p{L}\\p{N}]+')) as term from documents) where length(term) >= 8 group by term),
-r as (select conv_id, term, row_number() over (partition by conv_id order by seq desc, term) as place from t join n on n.term = t.w) select * from r where place <= 40""")
+n as (select term, min(doc_id) as seq from (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as term from documents) where length(term) >= 8 group by term),
+m as (select conv_id, term, seq, 0 as late from t join n on n.term = t.w), l as (select term, seq from n order by seq desc, term limit 40),
+u as (select * from m union all select c.conv_id, l.term, l.seq, 1 from (select distinct conv_id from conversations) c, l where not exists (select 1 from m where m.conv_id = c.conv_id and m.term = l.term)),
+r as (select conv_id, term, row_number() over (partition by conv_id order by late, seq desc, term) as place from u) select * from r where place <= 40""")
 def known_names_for_window(spark: SparkSession, d: str) -> DataFrame:
-    """Up to 40 known names that a conversation mentions, the latest first; found by their token, not by comparison."""
-    said = table(spark, d, "conversations").select("conv_id", F.explode_outer(T.tokenize(F.col("text"))).alias("term")).distinct()
-    known = table(spark, d, "documents").select("doc_id", F.explode_outer(T.tokenize(F.left("text", F.lit(200)))).alias("term")).where("length(term) >= 8").groupBy("term").agg(F.min("doc_id").alias("seq"))
-    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("seq").desc(), "term"))
-    return said.join(known, "term").select("conv_id", "term", place.alias("place")).where("place <= 40")
+    """40 known names for each conversation: those that it mentions, the latest first, then the latest others.
+
+    Mentions are found by their token, not by comparison; the 40 latest names of all suffice to fill any list.
+    """
+    talks = table(spark, d, "conversations")
+    said = talks.select("conv_id", F.explode_outer(T.tokenize(F.col("text"))).alias("term")).where("term is not null").distinct()
+    spoken = table(spark, d, "documents").select("doc_id", F.explode_outer(T.tokenize(F.col("text"))).alias("term"))
+    known = cut(spoken.where("length(term) >= 8").groupBy("term").agg(F.min("doc_id").alias("seq")))
+    mentioned = said.join(known, "term").select("conv_id", "term", "seq", F.lit(0).alias("late"))
+    latest = known.orderBy(F.col("seq").desc(), "term").limit(40).collect()
+    filler = F.array(*(F.struct(F.lit(r.term).alias("term"), F.lit(r.seq).cast("long").alias("seq")) for r in latest))
+    others = talks.select("conv_id").distinct().select("conv_id", F.explode(filler).alias("x")) if latest else None
+    every = mentioned
+    if others is not None:
+        others = others.select("conv_id", "x.term", "x.seq", F.lit(1).alias("late"))
+        every = mentioned.unionByName(others.join(mentioned.select("conv_id", "term"), ["conv_id", "term"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("late", F.col("seq").desc(), "term"))
+    return every.select("conv_id", "term", place.alias("place")).where("place <= 40")
 
 
 @query("""with n as (select distinct lower(p_name) as name from part where length(p_name) >= 3), x as (select p_partkey, ' ' || lower(p_name) || ' and ' || lower(p_brand) || ' ' as t from part)
@@ -275,11 +288,12 @@ def graph_document_view(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("document").agg(F.count("*").alias("edges"), (F.count_distinct("l_partkey") + F.count_distinct("l_suppkey")).alias("nodes"))
 
 
-@query(f"""with recursive {_THIN}, w as (select src as node, dst as other from t union select dst, src from t), b as (select node, 0 as depth from w where node like 's%' and node like '%3' union select w.other, b.depth + 1 from b join w on w.node = b.node where b.depth < 3)
+@query(f"""with recursive {_WAYS}, b as (select distinct node, 0 as depth from w where node like 's%' and node like '%3' union select w.other, b.depth + 1 from b join w on w.node = b.node where b.depth < 3)
 select node, min(depth) as depth from b group by node""")
 def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
-    t = thin_edges(spark, d)
-    return G.breadth_first(t, G.nodes(t).where("node like 's%' and node like '%3'"), 3)
+    """Nodes within three steps of some suppliers, over the whole graph."""
+    e = edges(spark, d)
+    return G.breadth_first(e, G.nodes(e).where("node like 's%' and node like '%3'"), 3)
 
 
 @query("select l_orderkey, l_linenumber from lineitem where l_linenumber > 6 or l_orderkey in (select o_orderkey from orders where o_orderpriority = '5-LOW')")
@@ -313,9 +327,10 @@ def core_nodes(spark: SparkSession, d: str) -> DataFrame:
     return deg.where(F.col("degree") >= threshold)
 
 
-@query(f"with recursive {_THIN}, w as (select src as node, dst as other from t union select dst, src from t), c as (select node, node as root from w union select w.other, c.root from c join w on w.node = c.node) select node, min(root) as component from c group by node")
+@query(f"with {_WAYS}, l0 as materialized (select node, min(node) as c from w group by node), {_ROUNDS} select node, c as component from l8")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(thin_edges(spark, d))
+    """Components of the whole supply graph."""
+    return G.components(edges(spark, d))
 
 
 @query()

@@ -36,7 +36,7 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 
 def ranked_items(spark: SparkSession, d: str, k: int) -> DataFrame:
     """BM25 ranking of documents for every benchmark text."""
-    return R.bm25_search(_items(spark, d), _weights(spark, d), k)
+    return R.bm25_search(_items(spark, d), table(spark, d, "documents"), "doc_id", k)
 
 
 def _asked(spark: SparkSession, d: str, scoped: bool = False) -> DataFrame:
@@ -52,14 +52,17 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 def gold_documents(spark: SparkSession, d: str) -> DataFrame:
     """(query, id): documents that hold a benchmark text word for word.
 
-    Candidates share the text's rarest term, so no document is compared with texts that it can't hold.
+    Candidates share the text's rarest term, so no document is compared with texts that it can't hold. A text's first
+    and last token may be a part of a longer one in the document, so inner tokens are taken where there are any.
     """
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    tf = R.postings(docs, "id")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    terms = _items(spark, d).select("query", F.explode_outer(F.array_distinct(T.tokenize(F.col("text")))).alias("term"))
-    inner = terms.join(df, "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("rare")).select("query", F.col("rare.term").alias("term"))
-    pairs = inner.join(tf, "term").select("query", "id")
+    words = T.tokenize(F.col("text"))
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
+    terms = _items(spark, d).select("query", F.explode_outer(F.array_distinct(inner)).alias("term")).where("term is not null")
+    hits = R.term_hits(docs, "id", terms.select("term").distinct())
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = terms.join(df, "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("rare")).select("query", F.col("rare.term").alias("term"))
+    pairs = rarest.join(hits, "term").select("query", "id")
     return pairs.join(docs, "id").join(_items(spark, d).withColumnRenamed("text", "needle"), "query").where(F.contains("text", "needle")).select("query", "id")
 
 
@@ -102,7 +105,7 @@ f as (select query, id, round(sum(part), 9) as score, min((list, rank)) as seen
 
 def _hybrid(spark: SparkSession, d: str, k: int) -> DataFrame:
     asked = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
-    lexical = R.bm25_search(asked, _weights(spark, d), 40)
+    lexical = R.bm25_search(asked, table(spark, d, "documents"), "doc_id", 40)
     return R.rrf_fuse([(R.dense_topk(_asked(spark, d), _vectors(spark, d), 40), 0.5), (lexical, 1.0)], k)
 
 
@@ -192,7 +195,7 @@ def _graph_pass(spark: SparkSession, d: str) -> DataFrame:
     """(query, target, id): for each target its best passage that names it; of equal ones the first target's stays."""
     targets = _targets(spark, d)
     asked = targets.join(_items(spark, d), "query").select((F.col("query") * 100000 + F.col("target")).alias("query"), F.concat_ws(" ", "name", "text").alias("text"))
-    found = R.bm25_search(asked, _weights(spark, d), 40).withColumnRenamed("query", "key")
+    found = R.bm25_search(asked, table(spark, d, "documents"), "doc_id", 40).withColumnRenamed("query", "key")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     named = found.join(targets.withColumn("key", F.col("query") * 100000 + F.col("target")), "key").join(docs, "id").where(T.contains_phrase(F.col("text"), F.col("name")))
     best = named.groupBy("query", "target").agg(F.min_by("id", "rank").alias("id"))
@@ -346,18 +349,18 @@ def ablation_compare(spark: SparkSession, d: str) -> DataFrame:
 select g.k, g.t as threshold, round(avg(coalesce(hit, 0)), 6) as recall from g, lateral (select gd.query, max(coalesce((r.rank <= g.k and r.score >= g.t)::int, 0)) as hit from gold gd left join r on r.query = gd.query and r.id = gd.id where gd.query % 2 = 0 group by gd.query) x group by all""")
 def grid_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Recall of each parameter pair on the development half (even ids), in one job."""
-    grid = spark.createDataFrame([(k, t) for k in (1, 3, 5) for t in (0.0, 10.0, 20.0)], "k int, threshold double")
+    grid = [(k, t) for k in (1, 3, 5) for t in (0.0, 10.0, 20.0)]
     found = gold_documents(spark, d).where("query % 2 = 0").join(ranked_items(spark, d, 10).select("query", "id", "rank", "score"), ["query", "id"], "left")
-    best = found.select("query", "rank", "score", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in grid.collect()))).alias("g"))
+    best = found.select("query", "rank", "score", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in grid))).alias("g"))
     hit = best.groupBy("g.k", "g.threshold", "query").agg(F.max(F.coalesce(((F.col("rank") <= F.col("g.k")) & (F.col("score") >= F.col("g.threshold"))).cast("int"), F.lit(0))).alias("hit"))
     return hit.groupBy("k", "threshold").agg(F.round(F.avg("hit"), 6).alias("recall"))
 
 
-@query(f"""{_BM}, c as (select query, string_agg(left(d.text, 300), ' ' order by rank) as cited from r join documents d on d.doc_id = r.id where rank <= 3 group by query)
+@query(f"""{_BM}, c as (select query, string_agg(d.text, ' ' order by rank) as cited from r join documents d on d.doc_id = r.id where rank <= 3 group by query)
 select b.item_id as query, case when b.item_id % 5 = 0 then null else contains(lower(c.cited), lower(split_part(b.text, ' ', 1))) or contains(lower(c.cited), lower(split_part(b.text, ' ', 2))) end as hit from benchmark b left join c on c.query = b.item_id""")
 def keyword_hit(spark: SparkSession, d: str) -> DataFrame:
     """Whether an expected keyword stands in the cited text; null where generation failed (every fifth item)."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(300)).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     cited = ranked_items(spark, d, 3).join(docs, "id").groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ").alias("cited"))
     words = F.slice(F.split(F.lower("text"), " "), 1, 2)
     hit = F.exists(words, lambda w: F.contains(F.lower(F.col("cited")), w))

@@ -19,15 +19,19 @@ def _k() -> F.Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-@query("""with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events), b as (select user_id, ts, k, ts as started, 0 as burst from e where k = 1
+_BURSTS = """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events), b as (select user_id, ts, k, ts as started, 0 as burst from e where k = 1
 union all select e.user_id, e.ts, e.k, case when e.ts < b.started + interval 120 second then b.started else e.ts end, case when e.ts < b.started + interval 120 second then b.burst else b.burst + 1 end from b join e on e.user_id = b.user_id and e.k = b.k + 1)
-select user_id, burst, started, count(*) as n from b group by all""")
+"""
+_SESSIONS = """with m as (select user_id, ts, case when ts - lag(ts) over w >= interval 600 second then 1 when lag(ts) over w is null then 1 else 0 end as f, event_id from events window w as (partition by user_id order by ts, event_id)),
+s as (select user_id, ts, sum(f) over (partition by user_id order by ts, event_id) as s from m) select user_id, min(ts) as started, count(*) as n from s group by user_id, s"""
+
+
+@query(_BURSTS + "select user_id, burst, started, count(*) as n from b group by all")
 def chat_burst_merge(spark: SparkSession, d: str) -> DataFrame:
     return J.burst_groups(table(spark, d, "events"), "user_id")
 
 
-@query("""with m as (select user_id, ts, case when ts - lag(ts) over w >= interval 600 second then 1 when lag(ts) over w is null then 1 else 0 end as f, event_id from events window w as (partition by user_id order by ts, event_id)),
-s as (select user_id, ts, sum(f) over (partition by user_id order by ts, event_id) as s from m) select user_id, min(ts) as started, count(*) as n from s group by user_id, s""")
+@query(_SESSIONS)
 def chat_session_window(spark: SparkSession, d: str) -> DataFrame:
     return J.sessions(table(spark, d, "events"), "user_id")
 
@@ -110,16 +114,20 @@ def stream_idempotent(spark: SparkSession, d: str) -> DataFrame:
     return S.drain(S.once(S.event_stream(spark, d)), "append").select("event_id", "user_id")
 
 
-@query()
+@query(_SESSIONS)
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Closed sessions of the stream; the watermark holds the last ones back."""
-    return S.drain(S.session_windows(S.event_stream(spark, d)), "append").select("user_id", "started", "n")
+    """All sessions of the stream; its end closes the last ones."""
+    end = S.end_folder(spark)
+    closed = S.drain(S.session_windows(S.event_stream(spark, d, closing=end)), "append", closing=end)
+    return closed.where("user_id is not null").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
-@query()
+@query(_BURSTS + "select user_id, started, count(*) as n from b group by user_id, burst, started")
 def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
-    """Closed bursts of the stream; each user's open one is held back."""
-    return S.drain(S.bursts(S.event_stream(spark, d)), "append").select("user_id", "started", "n")
+    """All bursts of the stream; its end closes the last ones."""
+    end = S.end_folder(spark)
+    closed = S.drain(S.bursts(S.event_stream(spark, d, closing=end)), "append", closing=end)
+    return closed.where("user_id is not null").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
 @query("select doc_id, greatest(1, ceil(length(text) / 3000.0))::bigint as pages from documents")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html
 import re
-import tempfile
 import uuid
 
 import pandas as pd
@@ -13,14 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from foliant.functions.text import strip
+from foliant.operators.lineage import shared_folder
 
 PAGE = 3000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares; only a session without one gets a local folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @F.pandas_udf(StringType())

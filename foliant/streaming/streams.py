@@ -15,22 +15,51 @@ from foliant.sources.ingest import scratch
 from foliant.sources.tables import SCHEMAS
 
 
-def event_stream(spark: SparkSession, folder: str, watermark: str = "1 hour") -> DataFrame:
-    """Events as a stream of files, with a time that watermarks accept."""
-    rows = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(folder)
+def event_stream(spark: SparkSession, folder: str, watermark: str = "1 hour", closing: str | None = None) -> DataFrame:
+    """Events as a stream of files, with a time that watermarks accept.
+
+    ``closing`` is a folder for an end mark (see ``end_mark``), which closes windows and bursts that are still open.
+    """
+    reader = spark.readStream.schema(SCHEMAS["events"])
+    rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    if closing:
+        rows = rows.unionByName(spark.readStream.schema(SCHEMAS["events"]).parquet(closing))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
-def drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
-    """Run a stream over what is there and return what it put out, from a table in the shared folder."""
+def end_folder(spark: SparkSession) -> str:
+    """An empty folder for an end mark."""
+    folder = scratch(spark, "stream-end")
+    spark.createDataFrame([], SCHEMAS["events"]).write.parquet(folder)
+    return folder
+
+
+def end_mark(spark: SparkSession, folder: str) -> None:
+    """One event without a user, far in the future: the watermark passes everything that came before it."""
+    mark = spark.range(1).select(F.lit(None).cast("long").alias("event_id"), F.lit("2200-01-01").cast("timestamp_ntz").alias("ts"))
+    rest = [F.lit(None).cast(t).alias(c) for c, t in (("user_id", "long"), ("event_type", "string"), ("value", "double"), ("props", "string"))]
+    mark.select("*", *rest).write.mode("append").parquet(folder)
+
+
+def drain(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, closing: str | None = None) -> DataFrame | None:
+    """Run a stream over what is there and return what it put out, from a table in the shared folder.
+
+    With ``closing``, the stream is ended after that: it goes on from its checkpoint with an end mark.
+    """
     spark = stream.sparkSession
     checkpoint, out = scratch(spark, "stream-state"), scratch(spark, "stream-out")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).foreachBatch(sink or keep).start()
-    query.awaitTermination()
+    def go() -> None:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).queryName(f"q{uuid.uuid4().hex}")
+        writer.trigger(availableNow=True).foreachBatch(sink or keep).start().awaitTermination()
+
+    go()
+    if closing:
+        end_mark(spark, closing)
+        go()
     return None if sink else spark.read.schema(StructType([*stream.schema.fields, StructField("_batch", IntegerType())])).option("recursiveFileLookup", True).parquet(out)
 
 

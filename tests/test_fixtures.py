@@ -44,15 +44,14 @@ def test_parse_json_object(spark):
 
 def test_bm25_puts_the_rare_term_first(spark):
     docs = spark.createDataFrame([(1, "The cat sat on the mat why"), (2, "Dogs and cats why"), (3, "Fractal scaffolds grow")], "id long, text string")
-    weights = R.bm25_weights(docs, "id")
-    ask = lambda q: [r.id for r in R.bm25_search(spark.createDataFrame([(1, q)], "query long, text string"), weights, 3).orderBy("rank").collect()]
+    ask = lambda q: [r.id for r in R.bm25_search(spark.createDataFrame([(1, q)], "query long, text string"), docs, "id", 3).orderBy("rank").collect()]
     assert ask("why fractal scaffolds")[0] == 3
     assert ask("unrelated words") == []
 
 
 def test_bm25_on_nothing(spark):
     none = spark.createDataFrame([], "id long, text string")
-    assert R.bm25_search(spark.createDataFrame([(1, "a")], "query long, text string"), R.bm25_weights(none, "id"), 3).count() == 0
+    assert R.bm25_search(spark.createDataFrame([(1, "a")], "query long, text string"), none, "id", 3).count() == 0
 
 
 @pytest.mark.parametrize(("first", "second", "weight"), [("abc", "bca", 1.0), ("ab", "ba", 0.1)])
