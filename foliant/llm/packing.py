@@ -24,8 +24,12 @@ _ODD_ASCII = bytes([9, 11, 12, 13, 28, 29, 30, 31])
 _ODD = (b"  ", b" \n", b"\n ", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
+#: Fixed value: the vocabulary's special token, which the tokenizer file maps to one id wherever a text has it.
+_SPECIAL, _SPECIAL_ID = "<|endoftext|>", 50256
+
+
 def _plain(text: bytes) -> bool:
-    return bool(text) and text[:1] != b" " and text[-1:] != b" " and not any(x in text for x in _ODD) and len(text.translate(None, _ODD_ASCII)) == len(text)
+    return bool(text) and _SPECIAL.encode() not in text and text[:1] != b" " and text[-1:] != b" " and not any(x in text for x in _ODD) and len(text.translate(None, _ODD_ASCII)) == len(text)
 
 
 class Encoder:
@@ -46,6 +50,11 @@ class Encoder:
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
 
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of one text; the special token parts it and has an id of its own."""
+        parts = [self.encode(x) for x in text.split(_SPECIAL)]
+        return np.array([*parts[0], *(i for x in parts[1:] for i in (_SPECIAL_ID, *x))], np.uint16)
+
     def _table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, each with a space before it, and where each word's ids end."""
         ids = np.array(self.encode(" " + " ".join(words.to_pylist())), np.uint16)
@@ -57,7 +66,7 @@ class Encoder:
         plain = np.array([_plain(x) for x in texts.cast(pa.binary()).to_pylist()], bool)
         out: list = [None] * len(texts)
         for k in np.flatnonzero(~plain).tolist():
-            out[k] = np.array(self.encode(texts[k].as_py()), np.uint16)
+            out[k] = self._whole(texts[k].as_py())
         if plain.any():
             split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
             values, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy()

@@ -505,7 +505,6 @@ def check_packing(rows, pieces, window=2048):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for d, x in rows}
     per_doc, per_sequence = {}, {}
     for p in pieces:
@@ -535,6 +534,11 @@ def test_packing_is_exact_and_without_padding(spark, docs):
     check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_tokens=60_000).collect())
 
 
+def test_packing_maps_the_special_token(spark):
+    rows = [(1, "one <|endoftext|> two"), (2, "<|endoftext|>"), (3, "a<|endoftext|><|endoftext|> b <|endoftext"), (4, "plain words here")]
+    check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_packing_puts_neighbours_together(spark):
     topics = [passage(30, t) for t in range(8)]
     rows = [(k, " ".join(random.Random(k).sample(topics[k % 8].split(), 20))) for k in range(160)]
