@@ -370,6 +370,61 @@ def test_decontamination_tolerates_substitutions(spark):
     assert {r.doc_id for r in kept.collect()} == {100, 101, 103}
 
 
+def _solid(equal: np.ndarray) -> np.ndarray:
+    """Which tokens of each row count as matched: equal ones with three of the five around them."""
+    wide = np.pad(equal, ((0, 0), (2, 2)))
+    return (equal == 1) & (sum(wide[:, d : d + equal.shape[1]] for d in range(5)) >= 3)
+
+
+def test_masks_hit_every_accepted_choice_of_substitutions():
+    for n in range(5, 17):
+        equal = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(np.int8)
+        equal = equal[_solid(equal).sum(axis=1) >= 0.6 * n - 1e-9]
+        masks = decontaminate.MASKS[max(k for k in decontaminate.MASKS if k <= n)]
+        hit = np.zeros(len(equal), bool)
+        for mask in masks:
+            kept = [k for k, bit in enumerate(mask) if bit == "1"]
+            for at in range(n - len(mask) + 1):
+                hit |= equal[:, [at + k for k in kept]].all(axis=1)
+        assert hit.all(), n
+
+
+def test_decontamination_of_short_items_against_brute_force(spark):
+    rng = random.Random(5)
+    lengths = [5, 6, 7, 8, 10, 12, 15, 18, 24, 25, 40]
+    items = [[f"w{rng.randrange(40)}" for _ in range(n)] for n in lengths]
+    docs = []
+    for k in range(220):
+        w = list(items[k % len(items)])
+        for at in rng.sample(range(len(w)), rng.randrange(len(w) // 2 + 1)):
+            w[at] = f"x{at}"
+        docs.append([f"w{rng.randrange(40)}" for _ in range(rng.randrange(30))] + w + [f"w{rng.randrange(40)}" for _ in range(rng.randrange(30))])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: set(r["items"]) for r in decontaminate.verdicts(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), bench).collect()}
+    must = exact = 0
+    for i, doc in enumerate(docs):
+        for j, item in enumerate(items):
+            n = len(item)
+            shifts = range(-n, len(doc))
+            equal = np.array([[0 <= s + k < len(doc) and doc[s + k] == item[k] for k in range(n)] for s in shifts]).astype(np.int8)
+            solid = _solid(equal)
+            if solid.sum(axis=1).max() >= 0.6 * n - 1e-9 and n < 17:
+                must += 1
+                assert j in got[i], (i, j)
+            if max(solid[max(0, s - 2 * n) : s + 2 * n].any(axis=0).sum() for s in range(len(shifts))) < 0.6 * n - 1e-9:
+                exact += 1
+                assert j not in got[i], (i, j)
+    assert must > 50 and exact > 1000
+
+
+def test_decontamination_adds_up_near_places_only(spark):
+    item = passage(30, 3).replace(".", "").split()
+    near, far = item[:11] + ["new"] + item[11:22], item[:11] + passage(200, 8).split() + item[11:22]
+    docs = spark.createDataFrame([(1, " ".join(near)), (2, " ".join(far))], "doc_id long, text string")
+    got = decontaminate.verdicts(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.contaminated for r in got} == {1: True, 2: False}
+
+
 def test_decontamination_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "long " * 20), (2, "a b c d e f")], "item_id long, text string")
     got = decontaminate.verdicts(odd, bench).collect()
