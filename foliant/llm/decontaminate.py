@@ -60,7 +60,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_coverage: float = 0.6,
     Seeds of both sides meet by hash. A hit fixes a shift between document and item; around it, the item's
     tokens are compared one by one, so substitutions cost only themselves. A token counts as matched if it
     agrees and at least three of the five around it do; matches of shifts that lie within an item's length of each
-    other (after insertions) add up, those of places further apart don't.
+    other (after insertions) add up, those of places over two lengths apart don't.
     A document leaks where ``min_coverage`` of the item's tokens are matched.
 
     Tokens are runs of letters and digits, lower-cased. ``masks`` gives the masks for items from a length on: shorter
