@@ -284,8 +284,11 @@ def _one_text(docs: DataFrame) -> DataFrame:
 def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
     """(a, b), a > b: members of one token's group (token, size, place, id, part) whose sizes and places allow the share.
 
-    ``neighbours``: only those next to each other by size. Members of one part are no pair. Tokens come sorted; of a
-    token that goes on in the next batch, the rows wait for it.
+    ``neighbours``: only those next to each other by size. Otherwise rows must hold whole leads, and a pair must share
+    enough of them: of two sets, the one whose lead ends first in the order of tokens has whatever it shares up to
+    there in both leads, so the overlap is at most the shared leads and what follows the lead of the larger set.
+    Members of one part are no pair. Tokens come sorted; of a token that goes on in the next batch, the rows wait
+    for it.
     """
 
     def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -298,13 +301,16 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
             low, high = low[fit], high[fit]
             if not len(low):
                 return
-            most = np.minimum(size[low] - place[low], size[high] - place[high])
-            use = (part[low] != part[high]) & (most >= share / (1 + share) * (size[low] + size[high]) * (1 - 1e-9))
-            x, y = ids[low[use]], ids[high[use]]
-            both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
+            apart = part[low] != part[high]
+            x, y = low[apart], high[apart]
+            least = share / (1 + share) * (size[x] + size[y]) * (1 - 1e-9)
+            early = np.minimum(size[x] - place[x], size[y] - place[y]) >= least
+            need = np.ones(len(x)) if neighbours else np.ceil(least - np.ceil(size[y] * share * (1 - 1e-9)) + 1)
+            ends = np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], axis=1)
+            both, one, which, n = np.unique(ends, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            columns = [both[:, 0].copy(), both[:, 1].copy(), n, need[one].astype(np.int64), np.bincount(which.ravel(), early, len(both)) > 0]
             for at in range(0, len(both), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(both[at : at + 65536, k].copy()) for k in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in columns], names=["a", "b", "n", "need", "early"])
             if neighbours:
                 return
 
@@ -323,7 +329,10 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
         if held:
             yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part").mapInArrow(run, "a long, b long").distinct()
+    met = rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part")
+    found = met.mapInArrow(run, "a long, b long, n long, need long, early boolean")
+    counted = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("early").alias("early"))
+    return counted.where("early and n >= need").select("a", "b")
 
 
 def _fingerprint_pairs(rows: DataFrame, budget: int) -> DataFrame:

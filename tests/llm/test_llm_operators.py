@@ -137,8 +137,9 @@ def brute_kept(rows, share):
     return {d for d in up if up[d] == d}
 
 
+@pytest.mark.parametrize("prints", [4, 0])
 @pytest.mark.parametrize("bounds", [None, (20, 3)])
-def test_checked_links_leave_no_near_pair(spark, monkeypatch, bounds):
+def test_checked_links_leave_no_near_pair(spark, monkeypatch, bounds, prints):
     """Substitutions and dropped tails around the bound of 0.8, and pairs in a template whose texts differ elsewhere."""
     if bounds:
         monkeypatch.setattr(simhash, "_SAMPLE", bounds[0])
@@ -152,11 +153,29 @@ def test_checked_links_leave_no_near_pair(spark, monkeypatch, bounds):
         own = frame + passage(60, 900 + k).split()
         rows += [(5000 + 2 * k, own), (5001 + 2 * k, edited(own, {100 + k % 9}, f"g{k}"))]
     rows = [(d, " ".join(w)) for d, w in rows]
-    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), budget=4, prints=4, check=(5, 0.8)).collect()}
+    got = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), budget=4, prints=prints, check=(5, 0.8)).collect()}
     assert got == brute_kept(rows, 0.8)
     assert 60 < len(got) < len(rows)
 
 
+def test_meetings_find_all_pairs_of_the_share_and_few_others(spark):
+    """The exact search alone: sets of unlike sizes around the bound, and pairs that share one passage only."""
+    rng, rows = random.Random(6), []
+    for k in range(40):
+        own = passage(100 + k, 3000 + k).split()
+        rows += [(4 * k, own), (4 * k + 1, own + passage(15 + k // 2, 4000 + k).split()), (4 * k + 2, edited(own, {k, 50 + k % 9}, f"h{k}"))]
+        rows += [(4 * k + 3, passage(12, 77).split() + passage(90 + rng.randrange(9), 5000 + k).split())]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    near = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    heads = simhash.shingle_heads(docs, 5, 0.8, simhash.common_shingles(docs, 5), 0, 3)
+    leads = heads.select(F.col("doc_id").alias("id"), "size", F.col("doc_id").alias("part"), F.posexplode("lead").alias("place", "token"))
+    met = {(r.a, r.b) for r in simhash._meetings(leads, 0.8, False).collect()}
+    assert near <= met
+    assert 40 < len(near) <= len(met) < 1.5 * len(near)
+
+
 def test_checked_fingerprints_test_every_pair(spark):
     """Three texts of one fingerprint, of which only the last two are alike: the first can't stand for the second."""
     same, tails = " ".join([passage(9, 1)] * 300), [passage(80, k) for k in (2, 3)]
