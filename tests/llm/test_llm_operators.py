@@ -519,6 +519,16 @@ def test_pii_finds_disclosing_terms_and_sanitises(spark):
     assert "term:" not in spans[12]
 
 
+def test_pii_counts_a_document_once_for_a_pair(spark):
+    """A term beside two places of one entity in each of two documents, and elsewhere alone, isn't bound to it."""
+    both = "alpha Quimby zq@corp.example {} and then beta Quimby zq@corp.example gamma"
+    rows = [(k, both.format(passage(40, k))) for k in range(2)] + [(10 + k, f"Quimby alone {passage(9, 70 + k)}") for k in range(6)] + [(30 + k, passage(9, 200 + k)) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.disclosing_terms(docs, pii.find_base(docs), threshold=0.0).join(docs, "doc_id")
+    said = {round(r.disclosure, 9) for r in found.where("lower(substring(text, start + 1, end - start)) = 'quimby'").collect()}
+    assert said == {round(math.log2(2 * 32 / (8 * 2)) / math.log2(32 / 2), 9)}
+
+
 def test_pii_odd_rows(odd, none):
     assert pii.find_spans(odd).count() == len(ODD)
     assert pii.find_spans(none).count() == 0
