@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import retrieval as R
+from foliant.operators.lineage import cut, shared_folder
 from foliant.plans.registry import query
+from foliant.sources.store import small
 from foliant.sources.tables import table
 
 _T = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -30,13 +34,16 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25_weights(table(spark, d, "documents"), "doc_id")
+def _index(spark: SparkSession, d: str) -> R.Bm25Index:
+    """The stored index of the documents, in the shared folder: built by the first query that asks for it, refreshed if rows have changed."""
+    index = R.Bm25Index(spark, f"{shared_folder(spark)}/retrieval/{hashlib.sha1(d.encode()).hexdigest()}/bm25")
+    index.refresh(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
+    return index
 
 
 def ranked_items(spark: SparkSession, d: str, k: int) -> DataFrame:
     """BM25 ranking of documents for every benchmark text."""
-    return R.bm25_search(_items(spark, d), table(spark, d, "documents"), "doc_id", k)
+    return _index(spark, d).search(_items(spark, d), k)
 
 
 def _asked(spark: SparkSession, d: str, scoped: bool = False) -> DataFrame:
@@ -58,23 +65,25 @@ def gold_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     words = T.tokenize(F.col("text"))
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
-    terms = _items(spark, d).select("query", F.explode_outer(F.array_distinct(inner)).alias("term")).where("term is not null")
-    hits = R.term_hits(docs, "id", terms.select("term").distinct())
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rarest = terms.join(df, "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("rare")).select("query", F.col("rare.term").alias("term"))
-    pairs = rarest.join(hits, "term").select("query", "id")
-    return pairs.join(docs, "id").join(_items(spark, d).withColumnRenamed("text", "needle"), "query").where(F.contains("text", "needle")).select("query", "id")
+    terms = cut(_items(spark, d).select("query", F.explode_outer(F.array_distinct(inner)).alias("term")).where("term is not null"))
+    index = _index(spark, d)
+    blocks = index.blocks(terms.select("term").distinct())
+    df = index.frequencies(blocks).select("term", "df")
+    rarest = terms.join(small(cut(df)), "term").groupBy("query").agg(F.min(F.struct("df", "term")).alias("rare")).select("query", F.col("rare.term").alias("term"))
+    pairs = cut(index.entries(blocks.join(small(cut(rarest)), "term")).select("query", "id").distinct())
+    held = docs.join(small(pairs.select("id").distinct()), "id", "left_semi").join(small(pairs), "id")
+    return held.join(_items(spark, d).withColumnRenamed("text", "needle"), "query").where(F.contains("text", "needle")).select("query", "id")
 
 
 @query(f"with {_P} select term, count(*) as df, sum(tf)::bigint as total, max(tf) as most from tf group by term")
 def term_stats(spark: SparkSession, d: str) -> DataFrame:
-    tf = R.postings(table(spark, d, "documents"), "doc_id")
-    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
+    index = _index(spark, d)
+    return index.entries(index.blocks()).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"), F.max("tf").alias("most"))
 
 
 @query(f"with {_P} select id, count(*) as n_terms, round(sum(weight), 4) as total_weight from w group by id")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d).groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("total_weight"))
+    return _index(spark, d).weights().groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("total_weight"))
 
 
 @query(f"{_BM} select query, id, score, rank from r where rank <= 10")
@@ -105,7 +114,7 @@ f as (select query, id, round(sum(part), 9) as score, min((list, rank)) as seen
 
 def _hybrid(spark: SparkSession, d: str, k: int) -> DataFrame:
     asked = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text")
-    lexical = R.bm25_search(asked, table(spark, d, "documents"), "doc_id", 40)
+    lexical = _index(spark, d).search(asked, 40)
     return R.rrf_fuse([(R.dense_topk(_asked(spark, d), _vectors(spark, d), 40), 0.5), (lexical, 1.0)], k)
 
 
@@ -195,7 +204,7 @@ def _graph_pass(spark: SparkSession, d: str) -> DataFrame:
     """(query, target, id): for each target its best passage that names it; of equal ones the first target's stays."""
     targets = _targets(spark, d)
     asked = targets.join(_items(spark, d), "query").select((F.col("query") * 100000 + F.col("target")).alias("query"), F.concat_ws(" ", "name", "text").alias("text"))
-    found = R.bm25_search(asked, table(spark, d, "documents"), "doc_id", 40).withColumnRenamed("query", "key")
+    found = _index(spark, d).search(asked, 40).withColumnRenamed("query", "key")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     named = found.join(targets.withColumn("key", F.col("query") * 100000 + F.col("target")), "key").join(docs, "id").where(T.contains_phrase(F.col("text"), F.col("name")))
     best = named.groupBy("query", "target").agg(F.min_by("id", "rank").alias("id"))
