@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bounded, cut, sized, slices, utf8
+from foliant.llm.common import cut, free, sized, slices, utf8
 from foliant.llm.components import connected_components
+from foliant.operators.ordering import ranked
 
 _BITS = 64
 #: Node pairs with at most this many leaf pairs are compared leaf by leaf.
@@ -206,14 +208,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Documents whose shingles are counted to find the common ones, and the most common ones that are kept.
-_SAMPLE, _COMMON = 10_000, 1 << 17
+#: Documents whose shingles are counted to find the common ones: so many, or one in a hundred; and the most common ones that are kept.
+_SAMPLE, _SHARE, _COMMON = 10_000, 100, 1 << 17
+#: A token's group of up to so many rows is paired step by step, a larger one part by part.
+_STEPS = 256
 #: The least hashes of a set by which the first round of links meets.
 _FIRST = 4
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a bounded sample have, ascending, with their counts there."""
+    """Shingles that several documents of a sample have, ascending, with their counts there; the sample grows with the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -221,7 +225,9 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
                 sets = [np.unique(shingle_hashes(x, shingle)) for x in utf8(batch.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["token"])
 
-    tokens = bounded(docs.select("doc_id", F.col("text").cast("string").alias("text")), _SAMPLE, 5, "doc_id").select("text").mapInArrow(run, "token long")
+    n = docs.count()
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(min(1, max(_SAMPLE, n / _SHARE) / max(n, 1)) * (1 << 30)))
+    tokens = chosen.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long")
     found = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.col("n").desc(), "token").limit(_COMMON).toArrow()
     token, n = found.column("token").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(token)
@@ -273,12 +279,21 @@ def shingle_heads(docs: DataFrame, shingle: int, share: float, common: tuple[np.
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, k1 long, k2 long, least array<long>, lead array<long>, fps array<long>")
 
 
-def _one_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row for each doc_id, its least text; only texts whose id repeats are shuffled."""
+def texts_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) with one row for each text of each doc_id, and (node, doc_id, text) of the ids that repeat.
+
+    Of several texts under one id the least goes by the id itself; each other one gets a number of its own beyond all
+    ids, its ``node``, so it is a document like others. Only texts whose id repeats are shuffled, in places that don't
+    depend on how many texts an id has. Rows without doc_id don't come.
+    """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     repeated = sized(cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")), 200_000)
-    least = rows.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return rows.join(repeated, "doc_id", "left_anti").unionByName(least)
+    least, most = rows.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0))).first()
+    several = cut(ranked(rows.join(repeated, "doc_id", "left_semi").distinct(), "doc_id", "text"))
+    beyond = F.lit(most) + 1 + F.monotonically_increasing_id() if most < 1 << 62 else F.lit(least) - 1 - F.monotonically_increasing_id()
+    known = cut(several.select(F.when(F.col("place") == 0, F.col("doc_id")).otherwise(beyond).alias("node"), "doc_id", "text"))
+    single = rows.join(repeated, "doc_id", "left_anti")
+    return single.unionByName(known.select(F.col("node").alias("doc_id"), "text")), known
 
 
 def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
@@ -291,8 +306,12 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
     for it.
     """
 
-    def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low, step = np.arange(len(token)), 0
+    def fitting(token: np.ndarray, size: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows (smaller, larger) of one token, of different parts, whose sizes allow the share. A part's rows never
+        meet each other, so a group of copies costs nothing, and one with a few strangers costs theirs only."""
+        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        length = np.repeat(np.diff(edges), np.diff(edges))
+        low, step = np.flatnonzero((length <= _STEPS) | neighbours), 0
         while True:
             step += 1
             low = low[low + step < len(token)]
@@ -300,19 +319,45 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
             fit = (token[low] == token[high]) & (size[low] >= share * size[high] * (1 - 1e-9))
             low, high = low[fit], high[fit]
             if not len(low):
-                return
+                break
             apart = part[low] != part[high]
-            x, y = low[apart], high[apart]
-            least = share / (1 + share) * (size[x] + size[y]) * (1 - 1e-9)
-            early = np.minimum(size[x] - place[x], size[y] - place[y]) >= least
-            need = np.ones(len(x)) if neighbours else np.ceil(least - np.ceil(size[y] * share * (1 - 1e-9)) + 1)
-            ends = np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], axis=1)
-            both, one, which, n = np.unique(ends, axis=0, return_index=True, return_inverse=True, return_counts=True)
-            columns = [both[:, 0].copy(), both[:, 1].copy(), n, need[one].astype(np.int64), np.bincount(which.ravel(), early, len(both)) > 0]
-            for at in range(0, len(both), 65536):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in columns], names=["a", "b", "n", "need", "early"])
+            yield low[apart], high[apart]
             if neighbours:
                 return
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if j - i <= _STEPS:
+                continue
+            _, of, n = np.unique(part[i:j], return_inverse=True, return_counts=True)
+            rank = np.argsort(np.argsort(n, kind="stable"), kind="stable")[of]  # parts by their number of rows
+            order = np.argsort(rank, kind="stable")
+            start = np.searchsorted(rank[order], np.arange(len(n)), side="right")
+            for x, after in zip(order, start[rank[order]], strict=True):
+                rest = order[after:]  # rows of larger parts
+                x, rest = x + i, rest + i
+                rest = rest[np.minimum(size[x], size[rest]) >= share * np.maximum(size[x], size[rest]) * (1 - 1e-9)]
+                if len(rest):
+                    first = size[x] <= size[rest]
+                    yield np.where(first, x, rest), np.where(first, rest, x)
+
+    def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        waiting, n_waiting = [], 0
+        for x, y in itertools.chain(fitting(token, size, part), [(None, None)]):
+            if x is not None and len(x):
+                waiting.append((x, y))
+                n_waiting += len(x)
+            if waiting and (x is None or n_waiting >= 1 << 18):
+                yield from met_rows(*(np.concatenate(c) for c in zip(*waiting, strict=True)), size, place, ids)
+                waiting, n_waiting = [], 0
+
+    def met_rows(x: np.ndarray, y: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        least = share / (1 + share) * (size[x] + size[y]) * (1 - 1e-9)
+        early = np.minimum(size[x] - place[x], size[y] - place[y]) >= least
+        need = np.ones(len(x)) if neighbours else np.ceil(least - np.ceil(size[y] * share * (1 - 1e-9)) + 1)
+        ends = np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], axis=1)
+        both, one, which, n = np.unique(ends, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        columns = [both[:, 0].copy(), both[:, 1].copy(), n, need[one].astype(np.int64), np.bincount(which.ravel(), early, len(both)) > 0]
+        for at in range(0, len(both), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 65536]) for c in columns], names=["a", "b", "n", "need", "early"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -359,8 +404,9 @@ def alike(docs: DataFrame, shingle: int, share: float, prints: int = 2, budget:
     a share of t or more have a token in common within the first n - t n + 1 of each, in any order of tokens that is
     the same for all; rare tokens go first, so that groups stay small, and places and sizes exclude further pairs.
     Pairs that verified links have joined aren't tested again, so a dense cluster doesn't cost its square.
+    docs: (doc_id, text), each doc_id once, as texts_apart() gives them.
     """
-    one = _one_text(docs)
+    one = docs
     heads = cut(shingle_heads(one, shingle, share, common_shingles(one, shingle), prints, print_shingle))
     classes = heads.groupBy("size", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
     again = heads.select("doc_id", "size", "k1", "k2").join(classes.where("n > 1"), ["size", "k1", "k2"])
@@ -397,20 +443,27 @@ def keep_one(docs: DataFrame, shingle: int = 3, budget: int = 3, prints: int = 1
     within the budget. ``check`` = (words, share) links exactly the texts that share that part of their distinct
     shingles of so many words: fingerprints propose, every pair is tested itself, and an exact check finds the pairs
     that no fingerprint proposed, so that no pair of that share stays.
-    Null and empty texts have no shingle and are copies of each other; rows that repeat a doc_id are one document
-    (its least text) and stay or go together. Other columns stay; an empty table stays empty.
+    Null and empty texts have no shingle and are copies of each other. Several texts under one doc_id are documents of
+    their own, so a text that has no copy stays whatever shares its id; rows that repeat both are one document and stay
+    or go together. Other columns stay; an empty table stays empty.
     """
-    known = docs.where("doc_id is not null")
+    one, several = texts_apart(docs)
     if check:
-        pairs = alike(known, *check, prints, budget, shingle)
+        pairs = alike(one, *check, prints, budget, shingle)
     else:
-        marked = cut(fingerprints(known, shingle, prints))
+        marked = cut(fingerprints(one, shingle, prints))
         classes = cut(marked.groupBy("number", "fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
         members = marked.join(classes.where("n > 1"), ["number", "fp"]).where("doc_id != first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
         near = links(classes.select("number", "fp"), budget)
         ends = [classes.select("number", F.col("fp").alias(e), F.col("first_id").alias(f"{e}_id")) for e in "ab"]
         across = near.join(ends[0], ["number", "a"]).join(ends[1], ["number", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
         pairs = cut(members.unionByName(across).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found = connected_components(pairs, "a", "b")
-    gone = cut(found.where("node != component").select(F.col("node").alias("doc_id")))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # The least doc_id of a group stays; a node beyond the ids stands for the id of its row.
+    own = several.select("node", F.col("doc_id").alias("own_id"))
+    found = cut(connected_components(pairs, "a", "b").join(own, "node", "left").withColumn("own_id", F.coalesce("own_id", "node")))
+    first = found.groupBy("component").agg(F.min_by("node", F.struct("own_id", "node")).alias("first"))
+    gone = cut(found.join(first, "component").where("node != first").select("node"))
+    rows = docs.join(sized(gone.join(own, "node", "left_anti").withColumnRenamed("node", "doc_id"), 200_000), "doc_id", "left_anti")
+    i, t = free(docs.columns, "id", "body")
+    texts = sized(cut(several.join(gone, "node", "left_semi").select(F.col("doc_id").alias(i), F.col("text").alias(t))), 20_000)
+    return rows.join(texts, (F.col("doc_id") == F.col(i)) & F.col("text").cast("string").eqNullSafe(F.col(t)), "left_anti").select(*docs.columns)

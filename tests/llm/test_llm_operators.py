@@ -686,3 +686,41 @@ def test_language_model_odd_rows(odd, none):
     assert len(got) == len(ODD)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert lm.score_documents(none).count() == 0
+
+
+def test_a_text_without_a_copy_stays_whatever_shares_its_id(spark):
+    """(5, A) is a copy of (1, A) and goes; B and C, under the same ids, are in no other row and stay."""
+    a, b, c = passage(60, 1), passage(60, 2), passage(60, 3)
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (1, c, "x"), (5, None, "x"), (9, "", "x"), (9, b + " more", "x"), (9, b + " more", "x"), (None, a, "x")]
+    for check in (None, (5, 0.8)):
+        got = simhash.keep_one(spark.createDataFrame(rows, SCHEMA), prints=4, budget=4, check=check).collect()
+        texts = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got)
+        assert {(1, a), (5, b), (1, c), (5, ""), (-1, a)} <= set(texts)
+        assert (5, a) not in texts and (9, "") not in texts
+        if check:
+            assert texts == sorted([(1, a), (5, b), (1, c), (5, ""), (-1, a)])
+
+
+def test_one_id_with_very_many_texts(spark):
+    texts = [passage(30, k) for k in range(300)]
+    rows = [(7, t, "x") for t in texts] + [(8, texts[3], "x"), (6, texts[4], "x")]
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), check=(5, 0.8)).collect())
+    assert got == sorted([(7, t) for t in texts if t != texts[4]] + [(6, texts[4])])
+
+
+def test_a_large_group_of_copies_with_strangers_costs_the_strangers_only(spark, monkeypatch):
+    """Groups beyond the step bound are paired by parts; the result is the same as step by step."""
+    base = passage(80, 5).split()
+    rows = []
+    for k in range(120):
+        own = list(base)
+        own[k % 80] = f"word{k}"
+        rows.append((k, " ".join(own), "x"))
+    rows += [(500 + k, " ".join(base[:40] + passage(40, 900 + k).split()), "x") for k in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    found = []
+    for steps in (1 << 30, 8):
+        monkeypatch.setattr(simhash, "_STEPS", steps)
+        found.append({(r.a, r.b) for r in simhash.alike(frame, 5, 0.8, prints=0).collect()})
+    closure = [{(r.node, r.component) for r in connected_components(spark.createDataFrame(sorted(f), "a long, b long"), "a", "b").collect()} for f in found]
+    assert closure[0] == closure[1] and len(closure[0]) >= 120
