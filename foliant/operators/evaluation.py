@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.lineage import shared_folder
+from foliant.operators.lineage import cut, shared_folder
+from foliant.operators.linking import same_names
 
 
 def token_f1(rows: DataFrame, keys: list[str], answer: Column, gold: Column) -> DataFrame:
@@ -46,3 +47,27 @@ def independent_first(items: DataFrame, links: DataFrame) -> DataFrame:
         open_ = open_.join(now, "item", "left_anti").join(gone, "item", "left_anti").checkpoint()
         taken = now if taken is None else taken.unionByName(now)
     return taken if taken is not None else items.select("item").limit(0)
+
+
+def graph_recall(turns: DataFrame) -> DataFrame:
+    """(conv_id, entities, found, triples, triples_found) of turns (conv_id, asked, l: names in order).
+
+    Names of asked turns are wanted, those of the others are found; a pair of consecutive names is a relation, and one
+    is found if both its ends are, next to each other in either direction.
+    """
+    names = turns.select("conv_id", "asked", F.explode_outer("l").alias("name")).where("name is not null").distinct()
+    ahead = F.transform(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.struct(F.get("l", i - 1).alias("a"), F.get("l", i).alias("b")))
+    chains = cut(turns.where(F.size("l") > 1).select("conv_id", "asked", F.explode(ahead).alias("t")).select("conv_id", "asked", "t.a", "t.b").distinct())
+    wanted, found = names.where("asked").select("conv_id", "name"), names.where("not asked").select("conv_id", "name")
+    same = cut(same_names(wanted, found, "conv_id"))
+    hits = same.select("conv_id", "name").distinct().withColumn("hit", F.lit(1))
+    entities = wanted.join(hits, ["conv_id", "name"], "left").groupBy("conv_id").agg(F.count("*").alias("entities"), F.count("hit").alias("found"))
+    triples = chains.where("asked").select("conv_id", "a", "b")
+    ends = [same.select("conv_id", F.col("name").alias(e), F.col("other").alias(f"{e}_other")) for e in "ab"]
+    met = triples.join(ends[0], ["conv_id", "a"]).join(ends[1], ["conv_id", "b"])
+    told = chains.where("not asked")
+    either = told.select("conv_id", F.col("a").alias("a_other"), F.col("b").alias("b_other")).union(told.select("conv_id", "b", "a")).distinct()
+    seen = met.join(either, ["conv_id", "a_other", "b_other"], "left_semi").select("conv_id", "a", "b").distinct().withColumn("hit", F.lit(1))
+    counts = triples.join(seen, ["conv_id", "a", "b"], "left").groupBy("conv_id").agg(F.count("*").alias("triples"), F.count("hit").alias("triples_found"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("triples", "triples_found")]
+    return entities.join(counts, "conv_id", "left").select("conv_id", "entities", "found", *zero)

@@ -65,13 +65,41 @@ def mcnemar_exact(spark: SparkSession, d: str) -> DataFrame:
 _CAP = r"[A-ZÀ-Þ][\p{L}]{4,}"
 
 
-@query(f"""with u as (select distinct conv_id, lower(unnest(regexp_extract_all(text, '{_CAP}'))) as name from conversations where role = 'user'), r as (select distinct conv_id, lower(unnest(regexp_extract_all(text, '{_CAP}'))) as name from conversations where role <> 'user')
-select u.conv_id, count(*) as annotated, count(r.name) as found, round(count(r.name) / count(*), 6) as recall from u left join r using (conv_id, name) group by u.conv_id""")
+#: A capitalised word and the word after it, if a blank parts them.
+_NAME = r"[A-ZÀ-Þ]\p{L}+(?: \p{L}+)?"
+
+
+def _forms_sql(name: str) -> str:
+    """A name's two forms: as it is, and without a qualifier at its end; blanks folded."""
+    folded = "trim(regexp_replace(lower({0}), '[\\s\\p{{Z}}]+', ' ', 'g'))".format
+    bare = f"regexp_replace({name}, '\\s*\\([^()]*\\)\\s*$', '')"
+    return f"[{folded(name)}, {folded(bare)}]"
+
+
+def _same_sql(a: str, b: str) -> str:
+    held = "contains(' ' || p || ' ', ' ' || q || ' ') or contains(' ' || q || ' ', ' ' || p || ' ')"
+    inner = f"len(list_filter({_forms_sql(b)}, lambda q: length(p) >= 3 and length(q) >= 3 and ({held}))) > 0"
+    return f"len(list_filter({_forms_sql(a)}, lambda p: {inner})) > 0"
+
+
+_CHAIN = "select distinct conv_id, l[i] as a, l[i + 1] as b from (select conv_id, l, unnest(range(1, len(l))) as i from turns where role {0} 'user')"
+
+
+@query(f"""with turns as (select conv_id, role, regexp_extract_all(text, '{_NAME}') as l from conversations),
+u as (select distinct conv_id, unnest(l) as name from turns where role = 'user'), r as (select distinct conv_id, unnest(l) as other from turns where role <> 'user'),
+m as (select u.conv_id, name, other from u join r on u.conv_id = r.conv_id where {_same_sql("name", "other")}),
+t as ({_CHAIN.format("=")}), f as ({_CHAIN.format("<>")}),
+h as (select distinct t.conv_id, t.a, t.b from t join m x on x.conv_id = t.conv_id and x.name = t.a join m y on y.conv_id = t.conv_id and y.name = t.b
+    join f on f.conv_id = t.conv_id and ((f.a = x.other and f.b = y.other) or (f.a = y.other and f.b = x.other)))
+select u.conv_id, count(*) as entities, count(*) filter ((u.conv_id, name) in (select (conv_id, name) from m)) as found,
+    coalesce((select count(*) from t where t.conv_id = u.conv_id), 0) as triples, coalesce((select count(*) from h where h.conv_id = u.conv_id), 0) as triples_found from u group by u.conv_id""")
 def entity_relation_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the names in the user's turns that the replies name too."""
-    said = table(spark, d, "conversations").select("conv_id", "role", F.explode_outer(F.regexp_extract_all("text", F.lit(_CAP), 0)).alias("name")).where("name is not null").select("conv_id", "role", F.lower("name").alias("name"))
-    wanted, found = said.where("role = 'user'").select("conv_id", "name").distinct(), said.where("role != 'user'").select("conv_id", "name", F.lit(1).alias("hit")).distinct()
-    return wanted.join(found, ["conv_id", "name"], "left").groupBy("conv_id").agg(F.count("*").alias("annotated"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    """How many of the entities and relations of a dialogue's user turns the replies name too, in either direction.
+
+    Names are the same if one holds the other as whole words. Relations are consecutive names of a turn.
+    """
+    turns = table(spark, d, "conversations").select("conv_id", (F.col("role") == "user").alias("asked"), F.regexp_extract_all("text", F.lit(_NAME), 0).alias("l")).where("role is not null")
+    return E.graph_recall(turns)
 
 
 @query("""with s as (select d.doc_id, b.item_id, position(b.text in d.text) - 1 as start from benchmark b join documents d on contains(d.text, b.text)), o as (select source, doc_id, coalesce(sum(n_chars + 2) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as base from documents)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import graph as G
+from foliant.operators import linking
 from foliant.operators.lineage import cut
 from foliant.plans.registry import query
 from foliant.sources.tables import table
@@ -216,24 +217,39 @@ def ground_evidence(spark: SparkSession, d: str) -> DataFrame:
     return scored.groupBy("item_id").agg(F.left(F.max_by("sentence", F.col("score") * 1000 - F.col("k")), F.lit(400)).alias("evidence"))
 
 
-_NM2 = "nm as (select distinct lower(p_name) as name from part), q as (select o_orderkey as query, ' where is the ' || lower(p_name) || ' of ' || lower(coalesce(p_brand, '')) || ' ' as t from orders join part on p_partkey = o_orderkey % 500)"
+_TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+_PAD = "(' ' || array_to_string({0}, ' ') || ' ')"
 
 
-@query(f"""with {_NM2}, c as (select query, name, 1.0 as score from q join nm on contains(t, ' ' || name || ' ')),
-r as (select c.query, c.name, c.score from c where not exists (select 1 from c b where b.query = c.query and b.name <> c.name and contains(' ' || b.name || ' ', ' ' || c.name || ' '))),
-k as (select query, name, row_number() over (partition by query order by score desc, length(name) desc, name) as place from r) select query, name, place from k where place <= 5""")
+def _linking_sql(most: int = 5) -> str:
+    """Every query against every name; then the fold, one name a round."""
+    inside = f"contains({_PAD.format('{0}.nt')}, {_PAD.format('{1}.nt')})"
+    rounds = []
+    for r in range(1, most + 1):
+        rounds.append(f"k{r} as materialized (select *, {r} as place from c{r - 1} qualify row_number() over (partition by query order by score desc, length(name) desc, name) = 1)")
+        rounds.append(f"c{r} as materialized (select c.* from c{r - 1} c join k{r} k using (query) where not {inside.format('k', 'c')})")
+    return f"""with n as (select distinct p_name as name from part union select p_name || ' ' || p_brand from part),
+    nt as (select name, {_TOK.format("name")} as nt from n where length(name) >= 3 and not regexp_full_match(name, '[0-9]+')),
+    q as (select c_custkey as query, case when c_custkey % 2 = 0 then 'Where is the ' || split_part(p_name, ' ', 2) || ', ' || split_part(p_name, ' ', 1) || ', of ' || p_brand || '?'
+        else 'Has the ' || p_name || ' ' || p_brand || ' come?' end as text from customer join part on p_partkey = c_custkey % 2000),
+    x as (select query, name, nt, {_TOK.format("text")} as qt, list_filter(list_distinct(nt), lambda t: length(t) >= 2) as lt from q, nt),
+    s as (select query, name, nt, case when contains({_PAD.format("qt")}, {_PAD.format("nt")}) then 1.0 when len(lt) >= 2 and len(list_intersect(lt, qt)) / len(lt) >= 0.6 - 1e-9 then 0.8::double * len(list_intersect(lt, qt)) / len(lt) end as score from x),
+    c0 as materialized (select query, name, nt, round(score, 9) as score from s where score is not null), {", ".join(rounds)}
+    {" union all ".join(f"select query, name, score, place from k{r}" for r in range(1, most + 1))}"""
+
+
+@query(_linking_sql())
 def link_query_entities(spark: SparkSession, d: str) -> DataFrame:
-    """Entities that a question names word for word, without those inside a longer one, at most five."""
-    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.lower("p_brand").alias("brand"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("query"), (F.col("o_orderkey") % 500).alias("p_partkey"))
-    q = orders.join(parts, "p_partkey").select("query", F.concat(F.lit(" where is the "), "name", F.lit(" of "), "brand", F.lit(" ")).alias("t"))
-    known = parts.select("name").distinct().withColumn("head", F.split("name", " ")[0])
-    heads = q.select("query", "t", F.explode(F.array_distinct(F.split(F.trim("t"), " "))).alias("head"))
-    found = heads.join(known, "head").where(F.contains("t", F.concat(F.lit(" "), "name", F.lit(" ")))).select("query", "name").distinct()
-    listed = found.groupBy("query").agg(F.collect_set("name").alias("all"))
-    kept = F.filter("all", lambda n: ~F.exists("all", lambda m: (m != n) & F.contains(F.concat(F.lit(" "), m, F.lit(" ")), F.concat(F.lit(" "), n, F.lit(" ")))))
-    ranked = listed.select("query", F.array_sort(F.transform(kept, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("name")))).alias("k"))
-    return ranked.select("query", F.posexplode("k").alias("p", "e")).select("query", F.col("e.name").alias("name"), (F.col("p") + 1).alias("place")).where("place <= 5")
+    """Entities that a question names, word for word or by most of their words, without those inside a surer or longer one, at most five."""
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    word = F.split("p_name", " ")
+    turned = F.concat(F.lit("Where is the "), F.coalesce(F.get(word, F.lit(1)), F.lit("")), F.lit(", "), word[0], F.lit(", of "), "p_brand", F.lit("?"))
+    plain = F.concat(F.lit("Has the "), "p_name", F.lit(" "), "p_brand", F.lit(" come?"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("query"), (F.col("c_custkey") % 2000).alias("p_partkey"))
+    queries = asked.join(parts, "p_partkey").select("query", F.when(F.col("query") % 2 == 0, turned).otherwise(plain).alias("text"))
+    known = parts.select(F.col("p_name").alias("name")).union(parts.select(F.concat_ws(" ", "p_name", "p_brand"))).distinct()
+    linked = linking.linked_names(queries, known).withColumn("score", F.round("score", 9))
+    return linking.most_specific(linked)
 
 
 _SEED = "seed as (select c_custkey as query, 'p' || (c_custkey % 2000) as node, 1.0 as w from customer union all select c_custkey, 'p' || ((c_custkey * 7 + 1) % 2000), 0.5 from customer)"
@@ -296,6 +312,24 @@ def graph_bfs(spark: SparkSession, d: str) -> DataFrame:
     return G.breadth_first(e, G.nodes(e).where("node like 's%' and node like '%3'"), 3)
 
 
+_TRIPLETS = "t as (select p_name || ' ' || p_brand as src, s_name as dst, min(l_orderkey * 8 + l_linenumber) as rel_id from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey group by 1, 2)"
+_MET = "select f.query, t.rel_id, t.src, t.dst, {0} as depth from {1} f join t on contains(lower(t.src), f.part) or contains(lower(t.dst), f.part) qualify row_number() over (partition by f.query, f.part order by t.rel_id, t.src, t.dst) <= 50"
+
+
+@query(f"""with {_TRIPLETS}, f1 as (select item_id as query, ['ring brand#1', 'supplier#00000000', 'OLD', 'g', 'nowhere'][item_id % 5 + 1].lower() as part from benchmark),
+m1 as ({_MET.format(1, "f1")}), f2 as (select distinct query, lower(unnest([src, dst])) as part from m1 except select query, part from f1),
+m2 as ({_MET.format(2, "f2")}) select query, rel_id, src, dst, min(depth) as depth from (select * from m1 union all select * from m2) group by all""")
+def graph_substring_search(spark: SparkSession, d: str) -> DataFrame:
+    """The graph around each asked string: edges with an end whose name holds it, 50 for each expansion, two steps."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", "p_name", "p_brand").alias("src"))
+    maker = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("dst"))
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rel_id"))
+    triplets = cut(rows.join(part, "l_partkey").join(maker, "l_suppkey").groupBy("src", "dst").agg(F.min("rel_id").alias("rel_id")))
+    asked = F.array(*map(F.lit, ("ring brand#1", "supplier#00000000", "OLD", "g", "nowhere")))
+    starts = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.get(asked, F.col("item_id") % 5).alias("part"))
+    return linking.expand_by_substring(triplets, starts)
+
+
 @query("select l_orderkey, l_linenumber from lineitem where l_linenumber > 6 or l_orderkey in (select o_orderkey from orders where o_orderpriority = '5-LOW')")
 def graph_scope_by_documents(spark: SparkSession, d: str) -> DataFrame:
     """Relations of the scope's documents, or without a document (here: a line number over 6)."""
