@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.lineage import cut, shared_folder
-from foliant.operators.linking import same_names
+from foliant.operators.linking import names_holding, same_names, substring_index
+from foliant.operators.ordering import ranked
 
 
 def token_f1(rows: DataFrame, keys: list[str], answer: Column, gold: Column) -> DataFrame:
@@ -71,3 +72,30 @@ def graph_recall(turns: DataFrame) -> DataFrame:
     counts = triples.join(seen, ["conv_id", "a", "b"], "left").groupBy("conv_id").agg(F.count("*").alias("triples"), F.count("hit").alias("triples_found"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("triples", "triples_found")]
     return entities.join(counts, "conv_id", "left").select("conv_id", "entities", "found", *zero)
+
+
+def leak_free(items: DataFrame, share: float) -> DataFrame:
+    """(item, place): a share of the items (item, text, answer), in order, so that no answer stands in the texts that it is asked of.
+
+    Chosen items take places in order of their ids and go to two volumes by turns; an answer is asked of the other
+    volume and leaks if it stands there, whatever the case. Leaking items are dropped for good and the next ones move
+    up, which changes the volumes; so rounds go on until one drops nothing. Each drops at least one item, and in
+    practice a part of what is left. Answers meet texts by their rarest piece of three characters. An empty answer
+    stands in no text; items without text or answer don't leak.
+    """
+    rows = cut(items.select("item", "text", F.nullif("answer", F.lit("")).alias("answer")))
+    most = -int(-rows.count() * share // 1)
+    left = rows
+    while True:
+        placed = ranked(left.withColumn("_all", F.lit(0)), "_all", "item").where(F.col("place") < most)
+        chosen = cut(placed.select("item", "text", "answer", "place"))
+        texts = chosen.where("text is not null")
+        index = substring_index(texts.select(F.col("text").alias("name")))
+        held = names_holding(chosen.where("answer is not null").select(F.col("answer").alias("part")), index)
+        sides = texts.select(F.col("text").alias("name"), (F.col("place") % 2).alias("volume")).distinct()
+        there = held.join(sides, "name").select(F.col("part").alias("answer"), (1 - F.col("volume")).alias("asked")).distinct()
+        asked = chosen.withColumn("asked", F.col("place") % 2)
+        leaking = cut(asked.join(there, ["answer", "asked"], "left_semi").select("item"))
+        if not leaking.limit(1).count():
+            return chosen.select("item", "place")
+        left = cut(left.join(leaking, "item", "left_anti"))

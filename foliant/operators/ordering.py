@@ -27,12 +27,15 @@ def _blocks(rows: DataFrame, group: str, order: list[Column | str]) -> DataFrame
     return cut(placed.withColumn("_block", F.shiftright("_at", 33)))
 
 
-def _offsets(totals: DataFrame, group: str, *sums: str) -> DataFrame:
-    """Totals (group, _block, sums) with what the group's earlier blocks have: a row for each block and group, not more."""
-    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    own = totals.select(group, "_block", "_first", *(F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{s}_before") for s in sums), *(F.sum(s).over(Window.partitionBy(group)).alias(f"{s}_all") for s in sums))
-    own = cut(own)
-    return F.broadcast(own) if own.limit(MOST_TOTALS + 1).count() <= MOST_TOTALS else own
+def _sized(totals: DataFrame) -> DataFrame:
+    totals = cut(totals)
+    return F.broadcast(totals) if totals.limit(MOST_TOTALS + 1).count() <= MOST_TOTALS else totals
+
+
+def _with_totals(blocks: DataFrame, totals: DataFrame, group: str) -> DataFrame:
+    """The rows of blocks with what is known of their block and group; null groups meet too."""
+    known = _sized(totals).withColumnsRenamed({group: "_group", "_block": "_of"})
+    return blocks.join(known, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of")))
 
 
 def ranked(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
@@ -42,6 +45,31 @@ def ranked(rows: DataFrame, group: str, *order: Column | str) -> DataFrame:
     """
     blocks = _blocks(rows, group, list(order))
     totals = blocks.groupBy(group, "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("n"))
-    known = _offsets(totals, group, "n").withColumnsRenamed({group: "_group", "_block": "_of"})
-    met = blocks.join(known, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of")))
-    return met.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("n_before")).alias("place"), F.col("n_all").alias("group_rows"))
+    whole = Window.partitionBy(group)
+    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = totals.select(group, "_block", "_first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"), F.sum("n").over(whole).alias("_in_all"))
+    met = _with_totals(blocks, sums, group)
+    return met.select(*rows.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("place"), F.col("_in_all").alias("group_rows"))
+
+
+def summed(rows: DataFrame, group: str, value: str, *order: Column | str) -> DataFrame:
+    """The rows with ``before``: the sum of ``value`` (a whole number; null counts as 0) over the group's earlier rows."""
+    blocks = _blocks(rows, group, list(order))
+    one = F.coalesce(F.col(value).cast("long"), F.lit(0))
+    totals = blocks.groupBy(group, "_block").agg(F.sum(one).alias("n"))
+    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = totals.select(group, "_block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_block", group).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    met = _with_totals(blocks.withColumn("_inside", F.coalesce(F.sum(one).over(inside), F.lit(0))), sums, group)
+    return met.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias("before"))
+
+
+def following(rows: DataFrame, group: str, value: str, *order: Column | str) -> DataFrame:
+    """The rows with ``next``: the first ``value`` that isn't null at the row itself or after it in the group's order."""
+    blocks = _blocks(rows, group, list(order))
+    firsts = blocks.groupBy(group, "_block").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("first"))
+    later = Window.partitionBy(group).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    known = firsts.select(group, "_block", F.first("first", True).over(later).alias("_later"))
+    inside = Window.partitionBy("_block", group).orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
+    met = _with_totals(blocks.withColumn("_inside", F.first(value, True).over(inside)), known, group)
+    return met.select(*rows.columns, F.coalesce("_inside", "_later").alias("next"))

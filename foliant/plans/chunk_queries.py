@@ -10,8 +10,10 @@ from foliant.functions import hooks
 from foliant.functions import text as T
 from foliant.operators import chunking as C
 from foliant.operators.relational import first_per_key, upsert_latest
+from foliant.operators.ordering import summed
 from foliant.plans.registry import query
 from foliant.sources import ingest
+from foliant.sources.keyed import Cache, KeyedTable
 from foliant.sources.tables import table
 
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -116,8 +118,8 @@ def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
 @query("with s as (select conv_id, turn, text, coalesce(sum(length(text) + 1) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as start from conversations) select conv_id, turn, start, start + length(text) as fin from s")
 def book_assembly_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Turns as sections of one book: where each begins and ends in the text joined by line feeds."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).alias("start"), F.length("text").alias("n")).select("conv_id", "turn", "start", (F.col("start") + F.col("n")).alias("fin"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n")).withColumn("room", F.col("n") + 1)
+    return summed(turns, "conv_id", "room", "turn").select("conv_id", "turn", F.col("before").alias("start"), (F.col("before") + F.col("n")).alias("fin"))
 
 
 @query("with s as (select conv_id, turn, sum(length(text) + 1) over (partition by conv_id order by turn) - length(text) - 1 as start, text from conversations), b as (select conv_id, string_agg(text, E'\\n' order by turn) as book from conversations group by conv_id) select conv_id, turn from s join b using (conv_id) where substr(book, start::int + 1, length(text)) <> text")
@@ -184,10 +186,15 @@ def ingest_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with u as (select vec_id, label, 0 as v from embeddings union all select vec_id, label + 100, 1 from embeddings where vec_id % 3 = 0 union all select vec_id + 1000000, label, 1 from embeddings where vec_id % 5 = 0), r as (select *, row_number() over (partition by vec_id order by v desc) as k from u) select vec_id, label from r where k = 1")
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.lit(0).alias("v"))
-    changed = rows.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("v"))
-    new = rows.where("vec_id % 5 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label", F.lit(1).alias("v"))
-    return upsert_latest(rows, changed.unionByName(new), "vec_id", "v").select("vec_id", "label")
+    """A stored collection after three deliveries: all points, changed and new ones, and the second again."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    points = KeyedTable(spark, ingest.scratch(spark, "points"), "vec_id", "vec_id long, label int")
+    points.replace(rows, ("load", 1))
+    changed = rows.where("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    new = rows.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    for _ in range(2):
+        points.replace(changed.unionByName(new), ("load", 2))
+    return points.read()
 
 
 @query("select vec_id, label from embeddings where vec_id not in (select doc_id from labels where quality = 0)")
@@ -208,10 +215,12 @@ def collection_info(spark: SparkSession, d: str) -> DataFrame:
 
 @query("with h as (select doc_id, sha1('model' || E'\\n' || text) as key from documents), c as (select distinct key from h where doc_id % 2 = 0) select key, min(doc_id) as first_doc, count(*) as n from h where key not in (select key from c) group by key")
 def content_hash_cache(spark: SparkSession, d: str) -> DataFrame:
-    """Keys still to be computed, once each, where the texts of even ids are in the cache."""
-    h = table(spark, d, "documents").select("doc_id", F.sha1(F.concat_ws("\n", F.lit("model"), "text").cast("binary")).alias("key"))
-    misses = h.join(h.where("doc_id % 2 = 0").select("key").distinct(), "key", "left_anti")
-    return misses.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    """Keys that the second of two calls still has to compute, once each; the first call has stored those of even ids."""
+    h = table(spark, d, "documents").select("doc_id", F.sha1(F.concat_ws("\n", F.lit("model"), "text").cast("binary")).alias("key"), F.length("text").alias("value"))
+    store = ingest.scratch(spark, "cache")
+    first = Cache(spark, store, "key string, value int")
+    first.append(first.misses(h.where("doc_id % 2 = 0")).dropDuplicates(["key"]))
+    return Cache(spark, store, "key string, value int").misses(h).groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
 @query(f"with {_CH}, k as (select doc_id, max(length(text)) as m from ch group by doc_id) select {_SHOW} from ch join k using (doc_id) where m > 0")

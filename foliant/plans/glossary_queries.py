@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import glossary as G
+from foliant.operators.ordering import ranked
 from foliant.plans.registry import query
 from foliant.sources.tables import table
 
@@ -62,9 +63,8 @@ def glossary_search(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_G}, r as (select source, term, row_number() over (partition by source order by term) as place, count(*) over (partition by source) as total from g) select source, term, total, ceil(total / 20.0)::bigint as pages from r where place between 21 and 40")
 def paginate_terms(spark: SparkSession, d: str) -> DataFrame:
     """The second page (20 terms) of each source's glossary, with the totals."""
-    w = Window.partitionBy("source")
-    numbered = glossary(spark, d).select("source", "term", F.row_number().over(w.orderBy("term")).alias("place"), F.count("*").over(w).alias("total"))
-    return numbered.where("place between 21 and 40").select("source", "term", "total", F.ceil(F.col("total") / 20.0).alias("pages"))
+    numbered = ranked(glossary(spark, d).select("source", "term"), "source", "term").withColumnRenamed("group_rows", "total")
+    return numbered.where("place between 20 and 39").select("source", "term", "total", F.ceil(F.col("total") / 20.0).alias("pages"))
 
 
 @query(f"""with {_G}, q as (select item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) as key from benchmark),

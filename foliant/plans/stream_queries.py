@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.plans.chunk_queries import _CH, _SHOW, _show
 from foliant.plans.registry import query
 from foliant.sources import ingest
 from foliant.sources.tables import SCHEMAS, table
@@ -36,8 +37,11 @@ def chat_session_window(spark: SparkSession, d: str) -> DataFrame:
     return J.sessions(table(spark, d, "events"), "user_id")
 
 
-@query(f"""with j as (select {_K} as job, arg_max(event_type, (ts, event_id)) as last, max(ts) as seen, count(*) filter (event_type = 'click') as attempts from events group by 1), n as (select max(ts) as now from events)
-select job, case when last = 'click' and now - seen > interval 150 second then case when attempts >= 25 then 'DEAD' else 'PENDING' end when last = 'click' then 'RUNNING' when last = 'view' then 'PENDING' when last = 'purchase' then 'DONE' when last = 'error' then 'FAILED' else 'DEAD' end as status from j, n""")
+_STALE = f"""with j as (select {_K} as job, arg_max(event_type, (ts, event_id)) as last, max(ts) as seen, count(*) filter (event_type = 'click') as attempts from events group by 1), n as (select max(ts) as now from events)
+select job, case when last = 'click' and now - seen > interval 150 second then case when attempts >= 25 then 'DEAD' else 'PENDING' end when last = 'click' then 'RUNNING' when last = 'view' then 'PENDING' when last = 'purchase' then 'DONE' when last = 'error' then 'FAILED' else 'DEAD' end as status from j, n"""
+
+
+@query(_STALE)
 def stale_job_detect(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     state = F.create_map(*map(F.lit, ("click", "RUNNING", "view", "PENDING", "purchase", "DONE", "error", "FAILED", "signup", "DEAD")))
@@ -130,9 +134,26 @@ def stream_bursts(spark: SparkSession, d: str) -> DataFrame:
     return closed.where("user_id is not null").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), "n")
 
 
-@query("select doc_id, greatest(1, ceil(length(text) / 3000.0))::bigint as pages from documents")
+_CHANGED = "docs2 as (select doc_id, case when doc_id % 7 = 0 then 'Revised. ' || text else text end as text from documents), "
+
+
+@query(f"with {_CHANGED}{_CH.replace('from documents', 'from docs2')} select {_SHOW} from ch")
 def stream_ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """New documents cut into pages by a stream whose batches replace their own output, and counted."""
-    docs = spark.readStream.schema(SCHEMAS["documents"]).option("pathGlobFilter", "documents.parquet").option("recursiveFileLookup", True).parquet(d)
-    pages = docs.select("doc_id", F.posexplode(ingest.page_slices(F.col("text"))).alias("page", "text"))
-    return S.drain(pages, "append").groupBy("doc_id").agg(F.count("*").alias("pages"))
+    """Chunks as a stream keeps them: new documents are cut and stored, changed ones replace their chunks, repeats do nothing."""
+    chunks = S.ChunkSink(spark, ingest.scratch(spark, "stream-chunks"))
+    docs = spark.readStream.schema(SCHEMAS["documents"]).option("recursiveFileLookup", True)
+    changed = ingest.scratch(spark, "stream-changes")
+    revised = table(spark, d, "documents").where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text"))
+    revised.write.parquet(changed)
+    S.drain(docs.option("pathGlobFilter", "documents.parquet").parquet(d), "append", chunks.sink("documents"))
+    S.drain(docs.option("pathGlobFilter", "*.parquet").parquet(changed), "append", chunks.sink("changes"))
+    return _show(chunks.table.read())
+
+
+@query(_STALE)
+def stream_stale_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """stale_job_detect by a stream with a timer for each running job: what each job came to, dead ones included."""
+    mark = S.end_folder(spark)
+    moves = S.drain(S.job_states(S.event_stream(spark, d, watermark="0 seconds", closing=mark), most=25), "update", closing=mark, at="1970-01-02")
+    last = moves.where("job is not null").groupBy("job").agg(F.max_by("status", F.struct("_batch", "timed_out")).alias("status"))
+    return last

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.lineage import cut
+from foliant.operators.ordering import following, summed
+
 
 def backoff_seconds(attempts: Column, base: int = 20, most: int = 300) -> Column:
     return F.least(F.lit(most), base * F.pow(F.lit(2), attempts - 1)).cast("int")
@@ -14,21 +17,31 @@ def backoff_seconds(attempts: Column, base: int = 20, most: int = 300) -> Column
 def burst_groups(events: DataFrame, key: str, seconds: int = 120) -> DataFrame:
     """(key, burst, started, n): bursts anchored on their first message; later ones don't extend them.
 
-    Where a burst begins depends on the one before, so each key's times are folded in order. A key's messages are
-    first merged to one row for each second, which bounds what a fold holds; keys are folded independently.
+    A message that begins a burst is followed by the first one that is ``seconds`` or more later, so each message's
+    successor is found by one ordering of messages and of the times they wait for. The beginnings are what a key's
+    first message reaches; they are found by doubling: after k rounds 2^k of each key, so a key of any size takes the
+    logarithm of its bursts in rounds of joins, and no key is gathered. Messages without a time don't come.
     """
-    seconds_of = events.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).groupBy(key, "us").agg(F.count("*").alias("n"))
-    listed = seconds_of.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("us", "n"))).alias("all"))
-    empty = F.array().cast("array<struct<started:bigint,n:bigint>>")
-
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)
-        joins = (F.size(out) > 0) & (x["us"] < last["started"] + seconds * 1_000_000)
-        grown = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["started"].alias("started"), (last["n"] + x["n"]).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(out, F.array(F.struct(x["us"].alias("started"), x["n"].alias("n")))))
-
-    folded = listed.select(key, F.aggregate("all", empty, step).alias("bursts"))
-    return folded.select(key, F.posexplode("bursts").alias("burst", "b")).select(key, "burst", F.timestamp_micros("b.started").cast("timestamp_ntz").alias("started"), F.col("b.n").alias("n"))
+    span = seconds * 1_000_000
+    times = cut(events.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us is not null").groupBy(key, "us").agg(F.count("*").alias("n")))
+    awaited = times.select(key, (F.col("us") + span).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("said"), F.col("us").alias("of"))
+    said = times.select(key, F.col("us").alias("at"), F.lit(1).alias("kind"), F.col("us").alias("said"), F.lit(None).cast("long").alias("of"))
+    met = following(awaited.unionByName(said), key, "said", "at", "kind").where("of is not null and next is not null")
+    jump = cut(met.select(F.col(key).alias("_k"), "of", F.col("next").alias("to")))
+    heads = cut(times.groupBy(F.col(key).alias("_k")).agg(F.min("us").alias("of")))
+    known = 0
+    while (n := heads.count()) > known:
+        known = n
+        a, b = heads.alias("a"), jump.alias("b")
+        ahead = a.join(b, F.col("a._k").eqNullSafe(F.col("b._k")) & (F.col("a.of") == F.col("b.of"))).select("a._k", F.col("b.to").alias("of"))
+        heads = cut(heads.unionByName(ahead).distinct())
+        a, b = jump.alias("a"), jump.alias("b")
+        jump = cut(a.join(b, F.col("a._k").eqNullSafe(F.col("b._k")) & (F.col("a.to") == F.col("b.of"))).select("a._k", "a.of", "b.to"))
+    begins = heads.select("_k", F.col("of").alias("_us"), F.lit(1).alias("begins"))
+    marked = times.join(begins, F.col(key).eqNullSafe(F.col("_k")) & (F.col("us") == F.col("_us")), "left").select(key, "us", "n", "begins")
+    placed = summed(marked, key, "begins", "us").withColumn("burst", (F.col("before") + F.coalesce("begins", F.lit(0)) - 1).cast("int"))
+    bursts = placed.groupBy(key, "burst").agg(F.min("us").alias("us"), F.sum("n").alias("n"))
+    return bursts.select(key, "burst", F.timestamp_micros("us").cast("timestamp_ntz").alias("started"), "n")
 
 
 def stale(jobs: DataFrame, key: str, now: Column, attempts: str, most: int = 3, silence: int = 150) -> DataFrame:
