@@ -105,6 +105,33 @@ def unigrams(docs: DataFrame, block_tokens: int = 1_000_000) -> DataFrame:
     return docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def hot_pairs(docs: DataFrame, words: np.ndarray, bound: int, block_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, count) of pairs in training texts whose count is over ``bound``; both ends are among ``words``, ascending.
+
+    A pair is no more frequent than its ends, so only pairs of frequent words are counted; at most 1/bound of all
+    tokens' number of pairs comes out, whatever the corpus.
+    """
+    known = np.sort(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, block_tokens):
+            hot = np.isin(block.hashes, known)
+            some = hot[block.code] & hot[block.context] & block.train[block.doc]
+            pairs, n = np.unique(block.context[some] * len(block.hashes) + block.code[some], return_counts=True)
+            columns = (block.hashes[pairs // len(block.hashes)].view(np.int64), block.hashes[pairs % len(block.hashes)].view(np.int64), n)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["v", "w", "c"])
+
+    counted = docs.mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c")).where(F.col("c") > bound)
+    found = counted.toArrow()
+    v, w, c = (found.column(x).to_numpy() for x in ("v", "w", "c"))
+    return v.view(np.uint64), w.view(np.uint64), c
+
+
+def _pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for a pair of hashes."""
+    return (v * _MIX) ^ (w + (v >> np.uint64(7)))
+
+
 def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1_500_000, block_tokens: int = 1_000_000, least_shards: int = 64, parts: int = 7, part: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
@@ -116,8 +143,10 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
     shard of its word, which has all that is known of the word: it builds the word's part of the trie (level 1:
     words; level 2: the contexts each was seen after), answers its own tokens and returns packed partial sums for
     the documents of each block, which are added up by block. Words with over a quarter of a shard's tokens
-    (or 1/256 of all) are dealt to shards by context as well, so no word outgrows its shard; there are at most four
-    of these for each shard, and only their counts are broadcast. Blocks go to shards as packed arrays with each distinct
+    (or 1/256 of all) are dealt to shards by context as well; there are at most four of these for each shard, and only
+    their counts are broadcast. Pairs of such words with over a sixteenth of a shard's tokens (or 1/4096 of all) are
+    counted first, and dealt to shards by block, which answer with the count that they are told. So no word and no pair
+    outgrows its shard. Blocks go to shards as packed arrays with each distinct
     context once. Shards grow in number with the corpus (from ``least_shards`` on), not in size.
 
     Null texts and texts without a word have the end token only. Rows without doc_id count as the id text ''.
@@ -134,6 +163,11 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
     hot = {r.h & (2**64 - 1): r.c for r in counted.where(F.col("c") > bound).collect()}
     hot_words = np.array(sorted(hot), np.uint64)
     hot_counts = np.array([hot[h] for h in sorted(hot)], np.int64)
+    ends = np.append(hot_words, np.uint64(_START))
+    pair_v, pair_w, pair_n = hot_pairs(rows, ends, max(1, min(shard_tokens // 16, int(total) // 4096)), block_tokens) if len(hot_words) else (hot_words, hot_words, hot_counts)
+    keys = _pair_keys(pair_v, pair_w)
+    order = np.argsort(keys)
+    pair_keys, pair_n = keys[order], pair_n[order]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
@@ -144,6 +178,11 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
                 spread = np.isin(block.hashes, hot_words)[block.code]
                 mixed = (block.hashes[block.context[spread]] * _MIX) >> np.uint64(32)
                 to[spread] = (mixed + to[spread]) % np.uint64(shards)
+            if len(pair_keys):
+                apart = np.flatnonzero(spread)
+                apart = apart[np.isin(_pair_keys(block.hashes[block.context[apart]], block.hashes[block.code[apart]]), pair_keys)]
+                salt = (base + number) * int(_MIX) % (1 << 64) >> 32
+                to[apart] = (to[apart] + np.uint64(salt)) % np.uint64(shards)
             order = np.argsort(to.astype(np.uint64) * np.uint64(len(block.hashes)) + block.code.astype(np.uint64), kind="stable")
             edges = np.searchsorted(to[order], np.arange(shards + 1))
             ids = np.array([0 if x is None else x for x in block.ids.to_pylist()], np.int64)
@@ -181,8 +220,12 @@ def score_documents(docs: DataFrame, mu: float = 20_000.0, shard_tokens: int = 1
             seen = np.where(hot_words[at] == root_names, hot_counts[at], seen)
         asked, which = np.unique(pair, return_inverse=True)
         times = np.bincount(which[train], minlength=len(asked))
-        known = times > 0
         asked_root = (asked // np.uint64(len(context_names))).astype(np.int64)
+        if len(pair_keys):
+            of = _pair_keys(context_names[(asked % np.uint64(len(context_names))).astype(np.int64)], root_names[asked_root])
+            at = np.minimum(np.searchsorted(pair_keys, of), len(pair_keys) - 1)
+            times = np.where(pair_keys[at] == of, pair_n[at], times)
+        known = times > 0
         prior = mu * (seen + 1) / (total + distinct + 1)
         with Trie(len(root_names), len(context_names), asked[known], np.log10(prior), np.log10(times[known] + prior[asked_root[known]])) as trie:
             numerator = trie.values(asked_root, (asked % np.uint64(len(context_names))).astype(np.int64))

@@ -724,3 +724,17 @@ def test_a_large_group_of_copies_with_strangers_costs_the_strangers_only(spark,
         found.append({(r.a, r.b) for r in simhash.alike(frame, 5, 0.8, prints=0).collect()})
     closure = [{(r.node, r.component) for r in connected_components(spark.createDataFrame(sorted(f), "a long, b long"), "a", "b").collect()} for f in found]
     assert closure[0] == closure[1] and len(closure[0]) >= 120
+
+
+def test_a_hot_pair_goes_by_block_and_scores_alike(spark):
+    """A corpus of one repeated pair: small shards, in which it is hot, give what one large shard gives."""
+    rng = random.Random(9)
+    texts = ["ha ho " * rng.randrange(1, 60) + " ".join(rng.choices("abcdefgh", k=rng.randrange(8))) for _ in range(80)] + ["", None, "ho", "ha ha ha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split, whole = ({r.doc_id: (r.n_tokens, r.n_known, round(r.base_score, 3), round(r.score, 3)) for r in lm.score_documents(docs, shard_tokens=n, block_tokens=200, least_shards=m).collect()} for n, m in ((160, 16), (1 << 30, 1)))
+    assert split.keys() == whole.keys() and all(abs(a - b) < 0.01 for k in whole for a, b in zip(split[k], whole[k], strict=True))
+    rows = docs.select("doc_id", "text", F.lit(True).alias("train"))
+    digest = lambda w: xxhash.xxh64_intdigest(w.encode())
+    v, w, n = lm.hot_pairs(rows, np.array([digest("ha"), digest("ho")], np.uint64), 50, 200)
+    want = Counter(p for t in texts for p in zip(words(t), words(t)[1:], strict=False) if set(p) <= {"ha", "ho"})
+    assert {(a, b): c for a, b, c in zip(v.tolist(), w.tolist(), n.tolist(), strict=True)} == {(digest(a), digest(b)): c for (a, b), c in want.items() if c > 50}
