@@ -136,6 +136,7 @@ def scan_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.count("*").alias("n"), F.count("text").alias("texts"), F.sum(F.length("text")).alias("chars"))
 
 
+#: Fixed values, for the check only: what stands for tags, entities and white space, as a chain in SQL.
 _HTML = r"""regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  coalesce(nullif(regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1), ''), html), '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'),
  '(?i)</(p|div|h[1-6]|li|blockquote|section|tr)>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&apos;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"""
@@ -250,12 +251,23 @@ def embedding_hook(spark: SparkSession, d: str) -> DataFrame:
     return v.select("doc_id", F.size("v").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x), 3).alias("norm"))
 
 
-@query("select doc_id, lang, n_chars from documents where n_chars > 0")
+_FILES = f"""with f as (select page_id, case when page_id % 7 = 3 then 'pdf' when page_id % 2 = 0 then 'html' else 'txt' end as format, page_id % 5 as part, coalesce(html, '') || E'\\n' as html from pages),
+k as (select *, case format when 'pdf' then 'container' when 'html' then 'html' else 'text' end as kind,
+    case when format = 'pdf' then 'no decoder for this kind' when part = 1 then 'binary' when part = 2 then 'not UTF-8' when part = 3 then 'no text' end as why from f),
+t as (select *, case when why is null and kind = 'html' then length({_STRIP.format(_HTML).replace("{{", "{").replace("}}", "}")}) when why is null then length(html) end as n_chars from k)"""
+
+
+@query(f"{_FILES} select kind, case when why is null then 'READY' else 'FAILED' end as status, why, count(*) as files, coalesce(sum(n_chars), 0)::bigint as n_chars from t group by all")
 def ingest_binary_files(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as bytes, decoded by their kind; what can't be decoded would be in the FAILED output."""
-    files = table(spark, d, "documents").select("doc_id", "lang", F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
-    done = ingest.decode_files(files)
-    return done.where("status = 'READY'").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
+    """Pages written as files, some with NUL bytes, broken UTF-8, nothing in them or of a kind without decoder; read and told apart."""
+    pages = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
+    kind = F.when(F.col("page_id") % 7 == 3, "pdf").when(F.col("page_id") % 2 == 0, "html").otherwise("txt")
+    part = F.col("page_id") % 5
+    broken = F.when(part == 1, F.concat("html", F.lit(b"a\x00b"))).when(part == 2, F.concat("html", F.lit(b"\xc3\x28"))).when(part == 3, F.lit(b"")).otherwise(F.col("html"))
+    path = ingest.scratch(spark, "files")
+    ingest.write_files(pages.select(kind.alias("format"), broken.alias("content")), path)
+    found = ingest.read_files(spark, path)
+    return found.groupBy("kind", "status", "why").agg(F.count("*").alias("files"), F.coalesce(F.sum(F.when(F.col("status") == "READY", F.length("text"))), F.lit(0)).alias("n_chars"))
 
 
 @query("select event_id, user_id, event_type, json_extract(props, '$.k')::int as k from events")

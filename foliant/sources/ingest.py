@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import html
-import re
 import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from foliant.functions.text import strip
 from foliant.operators.lineage import shared_folder
@@ -22,25 +19,51 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@F.pandas_udf(StringType())
-def _numeric_entities(texts: pd.Series) -> pd.Series:
-    number = re.compile(r"&#(?:x[0-9a-fA-F]+|[0-9]+);")
-    return texts.map(lambda x: x if x is None else number.sub(lambda m: html.unescape(m[0]), x))
+# What a tag puts in place of itself, and the named entities that are known. All other tags put nothing.
+TAGS = {"br": "\n"} | {f"/{t}": "\n\n" for t in ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "section", "tr")}
+ENTITIES = {"&nbsp;": " ", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
-def html_to_text(x: Column, numeric: bool = True) -> Column:
-    """The body's text: scripts and styles out, breaks and blocks as line feeds, tags out, entities decoded, blanks folded."""
+def _mapped(text: Column, pieces: str, put: Callable[[Column], Column]) -> Column:
+    """The text cut into pieces by a pattern that covers it, each as ``put`` has it."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pieces), 0), put), "")
+
+
+def _table(values: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+
+
+def _tag(piece: Column) -> Column:
+    """A tag by its class; scripts and styles come as one piece with what they hold, which goes with them."""
+    name = F.lower(F.regexp_extract(piece, "^<(/?[A-Za-z0-9]+)", 1))
+    return F.when(piece.rlike("(?s)^<.+>$"), F.coalesce(F.try_element_at(_table(TAGS), name), F.lit(""))).otherwise(piece)
+
+
+def _entity(piece: Column) -> Column:
+    """A named entity from the table, a numbered one as the character of that number; what is neither stays."""
+    digits = F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
+    hexes = F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,6});$", 1)
+    number = F.when(digits != "", digits.cast("int")).when(hexes != "", F.conv(hexes, 16, 10).cast("int"))
+    legal = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    character = F.when(legal, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    return F.coalesce(F.try_element_at(_table(ENTITIES), piece), character, piece)
+
+
+def _blank(piece: Column) -> Column:
+    """A run of blanks and line feeds: a blank, or one or two line feeds."""
+    breaks = F.length(piece) - F.length(F.replace(piece, F.lit("\n"), F.lit("")))
+    return F.when(~piece.rlike("^[ \\t\\n]"), piece).when(breaks == 0, " ").when(breaks == 1, "\n").otherwise("\n\n")
+
+
+def html_to_text(x: Column) -> Column:
+    """The text of a page's body, or of all of it if it has none: three passes, over tags, entities and white space.
+
+    Each pass cuts the text once into the pieces that it is about and those between, and looks up what stands for them.
+    """
     body = F.coalesce(F.nullif(F.regexp_extract(x, r"(?is)<body[^>]*>(.*)</body>", 1), F.lit("")), x)
-    steps = ((r"(?is)<(script|style).*?</\1>", ""), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|h[1-6]|li|blockquote|section|tr)>", "\n\n"), (r"<[^>]+>", ""), ("&nbsp;", " "))
-    for pattern, put in steps:
-        body = F.regexp_replace(body, pattern, put)
-    if numeric:
-        body = _numeric_entities(body)
-    for name, put in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        body = F.replace(body, F.lit(name), F.lit(put))
-    for pattern, put in ((r"[ \t]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
-        body = F.regexp_replace(body, pattern, put)
-    return strip(body)
+    plain = _mapped(body, r"(?is)<script.*?</script>|<style.*?</style>|<[^>]+>|[^<]+|<", _tag)
+    decoded = _mapped(plain, r"&#?[A-Za-z0-9]+;|[^&]+|&", _entity)
+    return strip(_mapped(decoded, r"[ \t\n]+|[^ \t\n]+", _blank))
 
 
 def page_boundaries(text: Column, size: int = PAGE) -> Column:
@@ -63,16 +86,37 @@ def status(text: Column) -> tuple[Column, Column]:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """Files (path, content) with text and status: HTML by its extension, any other bytes without NUL as UTF-8."""
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    plain = F.when(F.expr("position(X'00' in content)") == 0, text)
-    found = F.when(F.lower("path").rlike(r"\.(html?|xhtml)$"), html_to_text(plain)).otherwise(plain)
-    return files.withColumn("text", found).withColumn("status", F.when(F.length(F.trim("text")) > 0, "READY").otherwise("FAILED")).drop("content")
+    """Files (path, content) with kind, text, status and why: read by their extension, or FAILED with the reason.
+
+    The kind is the file's extension, or that of a folder ``format=...`` which it lies in, as Spark writes them. HTML is
+    turned into text, text formats are taken as they are, known containers that need a decoder of their own and
+    anything with NUL bytes are binary, and bytes that aren't UTF-8 are told apart from empty files.
+    """
+    folder = F.regexp_extract("path", r"/format=([A-Za-z0-9]+)/[^/]*$", 1)
+    extension = F.lower(F.coalesce(F.nullif(folder, F.lit("")), F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
+    kind = F.when(extension.isin("html", "htm", "xhtml"), "html").when(extension.isin("pdf", "docx", "epub", "zip"), "container").otherwise("text")
+    known = files.withColumns({"kind": kind, "plain": F.try_validate_utf8(F.col("content").cast("string"))})
+    reason = (
+        F.when(F.col("content").isNull() | (F.octet_length("content") == 0), "empty")
+        .when(F.col("kind") == "container", "no decoder for this kind")
+        .when(F.expr("position(X'00' in content)") > 0, "binary")
+        .when(F.col("plain").isNull(), "not UTF-8")
+    )
+    done = known.withColumn("why", reason).withColumn("text", F.when(F.col("why").isNull(), F.when(F.col("kind") == "html", html_to_text(F.col("plain"))).otherwise(F.col("plain"))))
+    failed = F.col("why").isNotNull() | (strip(F.col("text")) == "")
+    named = done.withColumns({"status": F.when(failed, "FAILED").otherwise("READY"), "why": F.when(failed, F.coalesce("why", F.lit("no text")))})
+    return named.drop("content", "plain")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """All files below a path as (path, text, status)."""
-    return decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"))
+    """All files below a path as (path, length, kind, text, status, why); Spark's reader passes over files of no bytes."""
+    return decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "content"))
+
+
+def write_files(rows: DataFrame, path: str) -> None:
+    """One file for each row (format, content): its bytes and a line feed, below a folder ``format=...``."""
+    lines = rows.select("format", F.col("content").cast("string").alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).partitionBy("format").text(path)
 
 
 def read_dialogues(spark: SparkSession, path: str) -> DataFrame:

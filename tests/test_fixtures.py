@@ -120,12 +120,39 @@ def test_html(spark):
     assert value(spark, ingest.html_to_text(F.lit(html))) == "Chapter 1\n\nCafé & tea time."
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a &lt;b&gt; &amp;lt; &quot;q&quot; &#38; &#x1F600; &#0; &#xD800; &unknown; & ;", "a <b> &lt; \"q\" & 😀 &#0; &#xD800; &unknown; & ;"),
+        ("x<br>y<BR/>z<br />w", "x\ny\nz\nw"),
+        ("<ul><li>one</li><li>two</li></ul><span>three</span>", "one\n\ntwo\n\nthree"),
+        ("1 < 2 and 3 > 2", "1  2"[:2] + "2"),
+        ("a \t b \n\n\n\n c\n d", "a b\n\nc\nd"),
+        ("<BODY class='x'>in <style>p{}\n</style>it</body> out", "in it"),
+        ("no tags", "no tags"),
+        ("<script>never closed", "never closed"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_html_pieces(spark, html, text):
+    assert value(spark, ingest.html_to_text(F.lit(html).cast("string"))) == text
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("Plain téxt")
     (tmp_path / "b.html").write_text("<body><p>Hi</p></body>")
     (tmp_path / "c.bin").write_bytes(b"a\0b")
-    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.status) for r in ingest.read_files(spark, str(tmp_path)).collect()}
-    assert got == {"a.txt": ("Plain téxt", "READY"), "b.html": ("Hi", "READY"), "c.bin": (None, "FAILED")}
+    (tmp_path / "d.txt").write_bytes(b"caf\xe9")
+    (tmp_path / "f.PDF").write_bytes(b"%PDF-1.7")
+    (tmp_path / "g.htm").write_text("<body><script>x</script></body>")
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.status, r.why) for r in ingest.read_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.txt": ("Plain téxt", "READY", None), "b.html": ("Hi", "READY", None), "c.bin": (None, "FAILED", "binary"), "d.txt": (None, "FAILED", "not UTF-8"),
+        "f.PDF": (None, "FAILED", "no decoder for this kind"), "g.htm": ("", "FAILED", "no text"),
+    }
+    empty = ingest.decode_files(spark.createDataFrame([("x.txt", bytearray()), ("y.html", None)], "path string, content binary"))
+    assert {(r.status, r.why) for r in empty.collect()} == {("FAILED", "empty")}
     (tmp_path / "d").mkdir()
     (tmp_path / "d/x.json").write_text('[{"a": 1}, {"a": 2}]')
     assert ingest.read_json_dataset(spark, str(tmp_path / "d/x.json"), "a int").count() == 2
