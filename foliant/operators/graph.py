@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliant.operators.components import connected_components
 from foliant.operators.lineage import cut
 
 
@@ -46,19 +47,14 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, by rounds of joins that halve the trees; lineage is checkpointed."""
-    ways = cut(both_ways(edges.select("src", "dst").where("src != dst")).distinct())
-    labels = cut(nodes(edges).select("node", F.col("node").alias("component")))
-    while True:
-        near = ways.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        moved = lower.join(jump, "component").select("node", "old", F.col("root").alias("component"))
-        moved = cut(moved)
-        changed = moved.where("old != component").limit(1).count()
-        labels = moved.select("node", "component")
-        if not changed:
-            return labels
+    """(node, component): the least node reachable. Nodes get numbers for the rounds, and their names back at the end."""
+    numbered = cut(nodes(edges).where("node is not null")).withColumn("id", F.monotonically_increasing_id())
+    ends = [numbered.select(F.col("node").alias(e), F.col("id").alias(i)) for e, i in (("src", "a"), ("dst", "b"))]
+    links = edges.select("src", "dst").where("src != dst").distinct().join(ends[0], "src").join(ends[1], "dst").select("a", "b")
+    found = connected_components(links, "a", "b").select(F.col("node").alias("id"), "component")
+    labelled = cut(numbered.join(found, "id", "left").select("node", F.coalesce("component", "id").alias("group")))
+    least = labelled.groupBy("group").agg(F.min("node").alias("component"))
+    return labelled.join(least, "group").select("node", "component")
 
 
 def fingerprint(node_rows: DataFrame, edge_rows: DataFrame, node_columns: list[str], edge_columns: list[str]) -> DataFrame:
