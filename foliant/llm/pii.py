@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliant.llm.common import cut, free
+from foliant.llm.common import cut, free, sized
 
 #: Kinds in the order of a result's spans; "term" is what the co-occurrence method adds.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -56,14 +57,19 @@ def _holds(kind: Column, value: Column) -> Column:
     )
 
 
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text_hash, text): rows numbered by their place in the table; a null text is empty."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+
+
 def find_base(docs: DataFrame, context: int = 100) -> DataFrame:
     """(row, doc_id, text_hash, kind, start, end, value, before, after): one line for each match that passes its
     test, and one with a null kind for each row of docs, so that no row is lost. Positions are code points.
 
     Matches are cut out and counted along the row, so a text with very many of them costs in proportion.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = rows_of(docs)
     none = F.lit(None)
     own = F.array(F.struct(none.cast("string").alias("kind"), F.lit(0).alias("i"), none.cast("int").alias("gap"), none.cast("string").alias("value"), none.cast("string").alias("before"), none.cast("string").alias("after")))
     parts = rows.select("row", "doc_id", "text_hash", F.explode_outer(F.concat(own, *(_matches(F.col("text"), k, context) for k in PATTERNS))).alias("m")).select("row", "doc_id", "text_hash", "m.*")
@@ -82,13 +88,21 @@ def _context_words(side: Column, whole: Column, at: Column, before: bool, contex
     return F.filter(spans, lambda s: ~(cut_off & ((s["start"] == at) if before else (s["end"] == at + F.length(side)))))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8) -> DataFrame:
-    """(row, doc_id, text_hash, start, end, disclosure): occurrences of terms that give away an entity beside them.
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0))
+
+
+def disclosures(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How much each candidate term gives away of an entity: (term, entity, disclosure); (text_hash, entity); and the
+    terms' places beside entities (row, doc_id, text_hash, term, entity, start, end).
 
-    An entity is a distinct value of a base span. For a term t within ``context`` characters of entities e,
-    disclosure = PMI(t, e) / IC(e) with PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)), all counted
-    over the documents of the corpus: 1 says that t occurs nowhere but beside e. Terms count from ``support``
-    distinct contexts on, so copies of one text are no evidence.
+    An entity is a distinct value of a base span. Candidates are words within ``context`` characters of an entity, in
+    ``support`` distinct contexts at least. For these, disclosure = PMI(t, e) / IC(e) with
+    PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)); every n counts the distinct texts of the whole corpus
+    that hold the term, the entity or both anywhere, so copies of one text are no evidence and both sides of the ratio
+    count alike. 1 says that t stands in no text without e.
+
+    Only words that are candidates leave a task for the counts.
     """
     entities = base.where("kind is not null").withColumn("entity", F.xxhash64("kind", F.lower("value")))
     sides = F.concat(
@@ -96,17 +110,43 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, context: int = 100, suppo
         _context_words(F.col("after"), F.col("after"), F.col("end").cast("int"), False, context),
     )
     near = entities.select("row", "doc_id", "text_hash", "entity", F.xxhash64(F.lower("before"), F.lower("after")).alias("place"), F.explode_outer(sides).alias("s"))
-    near = near.where("s is not null").select("row", "doc_id", "text_hash", "entity", "place", F.xxhash64("s.term").alias("term"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    once = near.select("term", "entity", "row", "place").distinct()
-    pairs = once.groupBy("term", "entity").agg(F.count_distinct("row").alias("n_pair"), F.count_distinct("place").alias("places"))
-    pairs = pairs.where(F.col("places") >= support)
-    each = docs.select(F.explode_outer(F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_WORD), 0), lambda w: F.xxhash64(w)))).alias("term")).where("term is not null")
-    n_term = each.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = entities.groupBy("entity").agg(F.count_distinct("row").alias("n_entity"))
-    n = float(max(base.where("kind is null").count(), 1))
+    near = near.where("s is not null").select("row", "doc_id", "text_hash", "entity", "place", F.col("s.term").alias("term"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    seen = near.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("places"))
+    pairs = cut(seen.where(F.col("places") >= support).select("term", "entity"))
+    wanted = sized(cut(pairs.select("term").distinct()), 200_000)
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    each = texts.select(F.xxhash64("text").alias("text_hash"), F.explode_outer(_words(F.col("text"))).alias("term")).where("term is not null")
+    held = cut(each.join(wanted, "term", "left_semi").distinct())
+    with_entity = cut(entities.select("text_hash", "entity").distinct())
+    n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    n_entity = with_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = held.join(sized(with_entity.select("text_hash").distinct(), 200_000), "text_hash", "left_semi")
+    n_pair = with_entity.join(pairs, "entity").join(both, ["text_hash", "term"]).groupBy("term", "entity").agg(F.count("*").alias("n_pair"))
+    n = float(max(base.where("kind is null").select("text_hash").distinct().count(), 1))
     ratio = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    strong = cut(pairs.join(n_term, "term").join(n_entity, "entity").where(F.col("n_entity") < n).withColumn("disclosure", ratio).where(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"))
-    return near.join(strong, ["term", "entity"]).groupBy("row", "doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    known = n_pair.join(n_term, "term").join(n_entity, "entity").where(F.col("n_entity") < n)
+    return cut(known.select("term", "entity", ratio.alias("disclosure"))), with_entity, near.drop("place")
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8) -> DataFrame:
+    """(row, doc_id, text_hash, start, end, disclosure): occurrences of terms that give away an entity of their text.
+
+    A term whose disclosure of an entity reaches the threshold is marked wherever it stands as a word in a text that
+    holds this entity, however far from it. See disclosures().
+    """
+    ratios, with_entity, near = disclosures(docs, base, context, support)
+    strong = sized(cut(ratios.where(F.col("disclosure") >= threshold)), 200_000)
+    beside = near.join(strong, ["term", "entity"]).select("row", "doc_id", "text_hash", "start", "end", "disclosure")
+    asked = with_entity.join(strong, "entity").groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
+    rows = rows_of(docs).join(sized(cut(asked), 200_000), "text_hash")
+    word = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), "term", F.lit(r"\E(?![\p{L}\p{N}])"))
+    pieces = rows.select("row", "doc_id", "text_hash", "term", "disclosure", F.posexplode(F.split("text", word, F.lit(-1))).alias("i", "piece"))
+    upto = Window.partitionBy("row", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pieces.withColumn("start", (F.sum(F.length("piece")).over(upto) + F.col("i") * F.length("term")).cast("int"))
+    last = F.max("i").over(Window.partitionBy("row", "term"))
+    placed = placed.withColumn("last", last).where("i < last").withColumn("end", (F.col("start") + F.length("term")).cast("int"))
+    every = beside.unionByName(placed.select(*beside.columns))
+    return every.groupBy("row", "doc_id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_spans(docs: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8) -> DataFrame:
@@ -127,9 +167,10 @@ def find_spans(docs: DataFrame, context: int = 100, support: int = 2, threshold:
     return grouped.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), F.sha2(joined(F.filter("all", lambda s: s["k"] < len(KINDS))), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8) -> DataFrame:
+def sanitise(docs: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8, generalise: bool = False) -> DataFrame:
     """docs with the column text rewritten: a base span becomes [EMAIL], [IP], [CARD] or [PHONE], a disclosing
-    term [TERM]; of overlapping spans, the first (then the longest) is replaced and the others fall in with it.
+    term [TERM], or, generalised, the class that its shape has in common with others: [NUMBER], [NAME] (an upper-case
+    letter first) or [WORD]. Of overlapping spans, the first (then the longest) is replaced and the others fall in with it.
 
     All other columns and rows stay as they are; null texts stay null.
     """
@@ -140,7 +181,12 @@ def sanitise(docs: DataFrame, context: int = 100, support: int = 2, threshold: f
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def add(state: Column, s: Column) -> Column:
-        mark = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        kind = F.upper(s["kind"])
+        if generalise:
+            word = F.substring(text, s["start"] + 1, -s["minus_end"] - s["start"])
+            shape = F.when(word.rlike("^[0-9]+$"), "NUMBER").when(word.rlike(r"^\p{Lu}"), "NAME").otherwise("WORD")
+            kind = F.when(s["kind"] == "term", shape).otherwise(kind)
+        mark = F.concat(F.lit("["), kind, F.lit("]"))
         more = F.struct((-s["minus_end"]).alias("at"), F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), mark)).alias("parts"))
         return F.when(s["start"] >= state["at"], more).otherwise(F.struct(F.greatest(state["at"], -s["minus_end"]).alias("at"), state["parts"].alias("parts")))
 

@@ -738,3 +738,40 @@ def test_a_hot_pair_goes_by_block_and_scores_alike(spark):
     v, w, n = lm.hot_pairs(rows, np.array([digest("ha"), digest("ho")], np.uint64), 50, 200)
     want = Counter(p for t in texts for p in zip(words(t), words(t)[1:], strict=False) if set(p) <= {"ha", "ho"})
     assert {(a, b): c for a, b, c in zip(v.tolist(), w.tolist(), n.tolist(), strict=True)} == {(digest(a), digest(b)): c for (a, b), c in want.items() if c > 50}
+
+
+def test_disclosure_against_brute_force(spark):
+    """Random documents with repeated entities, terms at any distance from them, and copies, which are no evidence."""
+    rng = random.Random(3)
+    names, rows = [f"u{k}@corp.example" for k in range(6)], []
+    for k in range(140):
+        own = rng.randrange(6)
+        text = rng.choices([f"tell{own}", f"Tell{own}", "common", "other", f"w{rng.randrange(30)}"], k=rng.randrange(3, 40))
+        if rng.random() < 0.6:
+            text.insert(rng.randrange(len(text)), names[own])
+        rows.append((k, " ".join(text), "x"))
+    rows += [(500 + k, rows[k % 3][1], "x") for k in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    texts = sorted({t for _, t, _ in rows})
+    holds = {t: set(re.findall(r"[^\W_]+", t.lower())) for t in texts}
+    base = pii.find_base(docs).cache()
+    entity = {r.entity: r.value for r in base.where("kind is not null").select(F.xxhash64("kind", F.lower("value")).alias("entity"), "value").distinct().collect()}
+    ratios = pii.disclosures(docs, base)[0].collect()
+    assert len(ratios) > 20
+    for r in ratios:
+        name = entity[r.entity]
+        n, t, e = len(texts), sum(r.term in w for w in holds.values()), sum(name in x for x in texts)
+        both = sum(r.term in holds[x] and name in x for x in texts)
+        assert math.isclose(r.disclosure, math.log2(both * n / (t * e)) / math.log2(n / e), abs_tol=1e-9)
+    strong = {(r.term, entity[r.entity]) for r in ratios if r.disclosure >= 0.7}
+    assert strong
+    want = {(d, m.start(), m.end()) for d, t, _ in rows for w, name in strong if name in t for m in re.finditer(rf"(?i)(?<![^\W_]){w}(?![^\W_])", t)}
+    got = {(r.doc_id, r.start, r.end) for r in pii.disclosing_terms(docs, base, threshold=0.7).collect()}
+    assert got == want
+
+
+def test_generalised_terms_get_their_class(spark):
+    rows = [(k, f"{passage(12, k)} Ask Quimby, badge 7731, at zq@corp.example {passage(9, 50 + k)}", "x") for k in range(4)] + [(10 + k, f"Ask him, badge {k}, at u{k}@corp.example {passage(9, 90 + k)}", "x") for k in range(40)]
+    got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, SCHEMA), generalise=True).collect()}
+    assert all("Ask [NAME], badge [NUMBER], at [EMAIL]" in got[k] for k in range(4))
+
