@@ -68,8 +68,9 @@ def following(rows: DataFrame, group: str, value: str, *order: Column | str) ->
     """The rows with ``next``: the first ``value`` that isn't null at the row itself or after it in the group's order."""
     blocks = _blocks(rows, group, list(order))
     firsts = blocks.groupBy(group, "_block").agg(F.min_by(value, F.when(F.col(value).isNotNull(), F.col("_at"))).alias("first"))
-    later = Window.partitionBy(group).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    known = firsts.select(group, "_block", F.first("first", True).over(later).alias("_later"))
-    inside = Window.partitionBy("_block", group).orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
-    met = _with_totals(blocks.withColumn("_inside", F.first(value, True).over(inside)), known, group)
+    # From the end on, so that each frame grows by a row; a frame that shrinks from the front is computed anew for each row.
+    later = Window.partitionBy(group).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = firsts.select(group, "_block", F.last("first", True).over(later).alias("_later"))
+    inside = Window.partitionBy("_block", group).orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = _with_totals(blocks.withColumn("_inside", F.last(value, True).over(inside)), known, group)
     return met.select(*rows.columns, F.coalesce("_inside", "_later").alias("next"))
