@@ -106,9 +106,10 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, dims: int = 64, sc
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32)), pa.array(near)], names=["vec_id", "cluster", "distance"])
 
     found = cut(held.mapInArrow(assign, schema))
-    own = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total"))  # k rows at most
-    every = own.agg(F.sum("total").alias("every"))
-    known = own.crossJoin(every).select("cluster", F.expr("try_cast(total as long)").alias("cluster_inertia"), F.expr("try_cast(every as long)").alias("inertia"))
+    own = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()  # k rows at most
+    fits = lambda n: int(n) if n < 1 << 63 else None
+    every = fits(sum(r["total"] for r in own))
+    known = held.sparkSession.createDataFrame([(r["cluster"], fits(r["total"]), every) for r in own], "cluster int, cluster_inertia long, inertia long")
     return found.join(F.broadcast(known), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia"), centres
 
 
