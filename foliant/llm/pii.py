@@ -92,17 +92,18 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), 0))
 
 
-def disclosures(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """How much each candidate term gives away of an entity: (term, entity, disclosure); (text_hash, entity); and the
-    terms' places beside entities (row, doc_id, text_hash, term, entity, start, end).
+def disclosures(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2, least: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How much each candidate term gives away of an entity: (term, entity, disclosure) from ``least`` on;
+    (row, entity); and the terms' places beside entities (row, doc_id, text_hash, term, entity, start, end).
 
     An entity is a distinct value of a base span. Candidates are words within ``context`` characters of an entity, in
-    ``support`` distinct contexts at least. For these, disclosure = PMI(t, e) / IC(e) with
-    PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)); every n counts the distinct texts of the whole corpus
-    that hold the term, the entity or both anywhere, so copies of one text are no evidence and both sides of the ratio
-    count alike. 1 says that t stands in no text without e.
+    ``support`` distinct contexts at least, so copies of one text are no evidence. For these,
+    disclosure = PMI(t, e) / IC(e) with PMI = log2(n(t, e) N / (n(t) n(e))) and IC = log2(N / n(e)); every n counts the
+    documents of the whole corpus that hold the term, the entity or both anywhere, so both sides of the ratio count
+    alike. 1 says that t stands in no document without e.
 
-    Only words that are candidates leave a task for the counts.
+    n(t, e) is at most n(t) and n(e), which bounds the disclosure before pairs are counted: frequent words fall out
+    there, and only occurrences of the words left are shuffled. n(t) itself leaves a task as one number for each word.
     """
     entities = base.where("kind is not null").withColumn("entity", F.xxhash64("kind", F.lower("value")))
     sides = F.concat(
@@ -113,19 +114,23 @@ def disclosures(docs: DataFrame, base: DataFrame, context: int = 100, support: i
     near = near.where("s is not null").select("row", "doc_id", "text_hash", "entity", "place", F.col("s.term").alias("term"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     seen = near.select("term", "entity", "place").distinct().groupBy("term", "entity").agg(F.count("*").alias("places"))
     pairs = cut(seen.where(F.col("places") >= support).select("term", "entity"))
+    each = rows_of(docs).select("row", F.explode_outer(_words(F.col("text"))).alias("term")).where("term is not null")
     wanted = sized(cut(pairs.select("term").distinct()), 200_000)
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    each = texts.select(F.xxhash64("text").alias("text_hash"), F.explode_outer(_words(F.col("text"))).alias("term")).where("term is not null")
-    held = cut(each.join(wanted, "term", "left_semi").distinct())
-    with_entity = cut(entities.select("text_hash", "entity").distinct())
-    n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = each.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    with_entity = cut(entities.select("row", "entity").distinct())
     n_entity = with_entity.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = held.join(sized(with_entity.select("text_hash").distinct(), 200_000), "text_hash", "left_semi")
-    n_pair = with_entity.join(pairs, "entity").join(both, ["text_hash", "term"]).groupBy("term", "entity").agg(F.count("*").alias("n_pair"))
-    n = float(max(base.where("kind is null").select("text_hash").distinct().count(), 1))
-    ratio = F.log2(F.col("n_pair") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    known = n_pair.join(n_term, "term").join(n_entity, "entity").where(F.col("n_entity") < n)
-    return cut(known.select("term", "entity", ratio.alias("disclosure"))), with_entity, near.drop("place")
+    n = float(max(base.where("kind is null").count(), 1))
+
+    def ratio(both: Column) -> Column:
+        return F.log2(both * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
+
+    known = pairs.join(n_term, "term").join(n_entity, "entity").where(F.col("n_entity") < n)
+    likely = cut(known.where(ratio(F.least("n_term", "n_entity")) >= least))
+    held = cut(each.join(sized(cut(likely.select("term").distinct()), 200_000), "term", "left_semi"))
+    met = held.join(likely.select("term", "entity"), "term").join(with_entity, ["row", "entity"], "left_semi")
+    n_pair = met.groupBy("term", "entity").agg(F.count("*").alias("n_pair"))
+    found = likely.join(n_pair, ["term", "entity"]).withColumn("disclosure", ratio(F.col("n_pair"))).where(F.col("disclosure") >= least)
+    return cut(found.select("term", "entity", "disclosure")), with_entity, near.drop("place")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, context: int = 100, support: int = 2, threshold: float = 0.8) -> DataFrame:
@@ -134,11 +139,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, context: int = 100, suppo
     A term whose disclosure of an entity reaches the threshold is marked wherever it stands as a word in a text that
     holds this entity, however far from it. See disclosures().
     """
-    ratios, with_entity, near = disclosures(docs, base, context, support)
-    strong = sized(cut(ratios.where(F.col("disclosure") >= threshold)), 200_000)
+    strong, with_entity, near = disclosures(docs, base, context, support, threshold)
+    strong = sized(strong, 200_000)
     beside = near.join(strong, ["term", "entity"]).select("row", "doc_id", "text_hash", "start", "end", "disclosure")
-    asked = with_entity.join(strong, "entity").groupBy("text_hash", "term").agg(F.max("disclosure").alias("disclosure"))
-    rows = rows_of(docs).join(sized(cut(asked), 200_000), "text_hash")
+    asked = with_entity.join(strong, "entity").groupBy("row", "term").agg(F.max("disclosure").alias("disclosure"))
+    rows = rows_of(docs).join(sized(cut(asked), 200_000), "row")
     word = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), "term", F.lit(r"\E(?![\p{L}\p{N}])"))
     pieces = rows.select("row", "doc_id", "text_hash", "term", "disclosure", F.posexplode(F.split("text", word, F.lit(-1))).alias("i", "piece"))
     upto = Window.partitionBy("row", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
