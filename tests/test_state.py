@@ -130,9 +130,11 @@ def brute_bursts(times, seconds):
     return [tuple(x) for x in out]
 
 
-def test_bursts_of_one_key_of_many_messages(spark):
+@pytest.mark.parametrize("folded", [0, 1 << 30])
+def test_bursts_of_one_key_of_many_messages(spark, folded, monkeypatch):
+    monkeypatch.setattr(J, "FOLDED", folded)
     rng = random.Random(1)
-    gaps = [rng.choice((0, 1, 7, 60, 119, 120, 121, 400)) for _ in range(3000)]
+    gaps = [rng.choice((0, 1, 7, 60, 119, 120, 121, 400)) for _ in range(900)]
     times, at = [], 1_000
     for g in gaps:
         at += g
