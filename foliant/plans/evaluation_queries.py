@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from foliant.functions import text as T
 from foliant.operators import evaluation as E
-from foliant.operators.ordering import summed
+from foliant.operators.lineage import cut
+from foliant.operators.ordering import ranked, summed
 from foliant.plans.registry import query
 from foliant.plans.retrieval_queries import gold_documents
 from foliant.sources.tables import table
@@ -115,15 +116,18 @@ def benchmark_build(spark: SparkSession, d: str) -> DataFrame:
     return spans.join(base, "doc_id").select("book", "item_id", "doc_id", (F.col("base") + F.col("start")).alias("start"))
 
 
-@query("""with recursive o as (select o_orderkey as item, o_custkey as c from orders where o_orderpriority = '1-URGENT'), t as (select min(item) as item from o group by c) select item, case when row_number() over (order by item) % 2 = 1 then 'A' else 'B' end as grp from t""")
+@query("""with o as (select o_orderkey as item, row_number() over (partition by o_custkey order by o_orderkey) as k from orders), t as (select item from o where k % 2 = 1)
+select item, case when row_number() over (order by item) % 2 = 1 then 'A' else 'B' end as grp from t""")
 def series_select(spark: SparkSession, d: str) -> DataFrame:
-    """Items taken in order of their id so that no two share a paragraph (here: a customer), in two groups by turns."""
-    items = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("item"), "o_custkey")
-    near = F.lead("item").over(Window.partitionBy("o_custkey").orderBy("item"))
-    first = F.min("item").over(Window.partitionBy("o_custkey"))
-    links = items.select(F.col("item").alias("b"), first.alias("a"), near.alias("n")).select("a", "b").where("a != b")
-    taken = E.independent_first(items.select("item"), links)
-    return taken.select("item", F.when(F.row_number().over(Window.orderBy("item")) % 2 == 1, "A").otherwise("B").alias("grp"))
+    """Items taken in order of their id so that no two share a paragraph, in two groups by turns.
+
+    Here a customer's orders are items of which each shares a paragraph with the next one.
+    """
+    placed = cut(ranked(table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), "o_custkey"), "o_custkey", "item"))
+    ahead = placed.select(F.col("item").alias("b"), "o_custkey", (F.col("place") - 1).alias("place"))
+    links = placed.select(F.col("item").alias("a"), "o_custkey", "place").join(ahead, ["o_custkey", "place"]).select("a", "b")
+    taken = ranked(E.independent_first(placed.select("item"), links).withColumn("whole", F.lit(0)), "whole", "item")
+    return taken.select("item", F.when(F.col("place") % 2 == 0, "A").otherwise("B").alias("grp"))
 
 
 #: Rounds that the check of leaks is written out for; the loop itself has no such bound and stops where nothing leaks.
