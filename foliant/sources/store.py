@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.sources.versions import Versions
+from foliant.sources.versions import VersionConflict, Versions
 
 #: A table of keys is broadcast up to this many rows.
 MOST_KEYS = 200_000
@@ -80,7 +80,12 @@ class DerivedTable:
         manifest = {"fingerprint": fingerprint, "derived": derived, "dropped": dropped, "segments": segments + added}
         if len(manifest["segments"]) > MOST_SEGMENTS:
             manifest["segments"] = [self._together(manifest["segments"])]
-        self.versions.commit(manifest, number)
+        try:
+            self.versions.commit(manifest, number)
+        except VersionConflict:  # another job has brought the table up to the same source meanwhile
+            manifest = self.versions.last()[1]
+            if manifest["fingerprint"] != fingerprint:
+                raise
         return manifest
 
     def _index(self, folder: str) -> None:
