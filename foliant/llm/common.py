@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,21 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the session names one.
-
-    Only a session without that setting (tests on one machine) gets a temporary folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder is None:
-        folder = context.getCheckpointDir()
-        if folder is None:
-            folder = "file://" + tempfile.mkdtemp(prefix="foliant-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from foliant.operators.lineage import cut, shared_folder  # noqa: F401  other modules take them from here
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -32,12 +17,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint; lost executors cannot take it along."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
