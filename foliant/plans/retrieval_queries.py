@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql.window import Window
 from foliant.functions import text as T
 from foliant.operators import retrieval as R
 from foliant.operators.lineage import cut, shared_folder
+from foliant.plans.chunk_queries import _CH
 from foliant.plans.registry import query
 from foliant.sources.store import small
 from foliant.sources.tables import table
@@ -36,9 +39,9 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 def _index(spark: SparkSession, d: str) -> R.Bm25Index:
     """The stored index of the documents, in the shared folder: built by the first query that asks for it, refreshed if rows have changed."""
-    index = R.Bm25Index(spark, f"{shared_folder(spark)}/retrieval/{hashlib.sha1(d.encode()).hexdigest()}/bm25")
-    index.refresh(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
-    return index
+    store = R.RetrievalStore(spark, f"{shared_folder(spark)}/retrieval/{hashlib.sha1(d.encode()).hexdigest()}")
+    store.postings.refresh(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
+    return store.postings
 
 
 def ranked_items(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -86,6 +89,30 @@ def bm25_index(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).weights().groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("total_weight"))
 
 
+_COUNTED = "count(*) filter ({0} % 3 = 0 or {0} % 5 = 0)::bigint as derived, count(*) filter ({0} % 5 = 0 and {0} % 3 <> 0)::bigint as dropped"
+
+
+@query(f"""with {_P}, {_CH}, r as (select distinct l_orderkey as key from lineitem)
+select 'postings' as name, (select count(*) from tf) as n, {_COUNTED.format("doc_id")} from documents
+union all select 'chunks', (select count(*) from ch), {_COUNTED.format("doc_id")} from documents
+union all select 'vectors', (select count(*) from embeddings), {_COUNTED.format("vec_id")} from embeddings
+union all select 'edges', (select count(*) from (select distinct l_orderkey, l_partkey, l_suppkey, l_returnflag from lineitem)), {_COUNTED.format("key")} from r""")
+def retrieval_store(spark: SparkSession, d: str) -> DataFrame:
+    """The retrieval tables built from a part of the sources, some of it out of date, then refreshed: rows, and keys derived and dropped by the refresh."""
+    store = R.RetrievalStore(spark, f"{shared_folder(spark)}/retrieval-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), "embedding", "label")
+    relations = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("type"))
+    old = F.col("key") % 5 == 0
+    before = [x.where("key % 3 != 0") for x in (docs, vectors, relations)]
+    stale = [x.withColumn(c, F.when(old, v).otherwise(F.col(c))) for x, c, v in zip(before, ("text", "label", "type"), (F.lit("out of date"), F.lit(-1), F.lit("?")), strict=True)]
+    store.refresh(*stale)
+    done = store.refresh(docs, vectors, relations)
+    rows = {"postings": store.postings.entries(store.postings.blocks()), "chunks": store.chunks.read(), "vectors": store.vectors.read(), "edges": store.edges.read()}
+    counted = [rows[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n", F.lit(done[n]["derived"]).cast("long").alias("derived"), F.lit(done[n]["dropped"]).cast("long").alias("dropped")) for n in rows]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query(f"{_BM} select query, id, score, rank from r where rank <= 10")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return ranked_items(spark, d, 10)
