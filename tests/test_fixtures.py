@@ -200,3 +200,21 @@ def test_llm_map_retries_and_reports(spark):
     rows = spark.createDataFrame([("good",), ("bad",), (None,)], "prompt string")
     got = {r.prompt: (r.answer, r.error) for r in hooks.llm_map(rows, "prompt", model).collect()}
     assert got == {"good": ("GOOD", None), "bad": (None, "no such model"), None: ("", None)}
+
+
+def test_generation_options_waits_and_lasting_failures(spark):
+    def model(text, temperature=1.0):
+        if text == "busy" and not hasattr(model, "seen"):
+            model.seen = True
+            raise hooks.GenerationError("slow down", status=429, retry_after=0.01)
+        if text == "refused":
+            raise hooks.GenerationError("at row 500 of the table", status=400)
+        if text == "patient":
+            raise hooks.GenerationError("come back tomorrow", status=429, retry_after=86_400)
+        return f"{text} at {temperature}"
+
+    rows = spark.createDataFrame([("busy",), ("refused",), ("patient",), ("plain",)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.answer, r.error) for r in hooks.llm_map(rows, "prompt", model, wait=0.0, options={"temperature": 0.2}).collect()}
+    assert got == {"busy": ("busy at 0.2", None), "refused": (None, "at row 500 of the table"), "patient": (None, "come back tomorrow"), "plain": ("plain at 0.2", None)}
+    assert hooks._pause(ValueError("500 rows are too many"), 1.0, 60.0) is None
+    assert hooks._pause(OSError("HTTP 503"), 1.0, 60.0) == 1.0 and hooks._pause(TimeoutError(), 2.0, 60.0) == 2.0
