@@ -231,7 +231,8 @@ def chunk_sink_replace(spark: SparkSession, d: str) -> DataFrame:
     return _show(ingest.replace_chunks(docs))
 
 
-@query()
+@query(r"""with w as (select doc_id, regexp_extract_all(text, '[A-ZÀ-Þ][\p{L}\p{N}_]{3,}') as l from documents where length(text) >= 50), p as (select doc_id, l, unnest(range(1, len(l))) as i from w)
+select doc_id, l[i] as subject, 'related_to' as relation, l[i + 1] as object, 0.8::double as confidence from p""")
 def triplet_extract(spark: SparkSession, d: str) -> DataFrame:
     """Triplets of whole texts of 50 characters or more, by the supplied extractor (the default one here)."""
     texts = table(spark, d, "documents").where("length(text) >= 50").select("doc_id", F.col("text").alias("prompt"))
