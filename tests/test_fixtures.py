@@ -218,3 +218,11 @@ def test_generation_options_waits_and_lasting_failures(spark):
     assert got == {"busy": ("busy at 0.2", None), "refused": (None, "at row 500 of the table"), "patient": (None, "come back tomorrow"), "plain": ("plain at 0.2", None)}
     assert hooks._pause(ValueError("500 rows are too many"), 1.0, 60.0) is None
     assert hooks._pause(OSError("HTTP 503"), 1.0, 60.0) == 1.0 and hooks._pause(TimeoutError(), 2.0, 60.0) == 2.0
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark):
+    """A letter beyond ASCII is no part of a word for \\b in the SQL, so "çan" holds "an" and "üin" holds "in"."""
+    rows = spark.createDataFrame([(0, "que çan"), (1, "Üin."), (2, "pan ani"), (3, "an_ _an an1"), (4, "an"), (5, "")], "id int, x string")
+    counted = {r.id: r.n for r in rows.select("id", T.count_words(F.col("x"), T.ENGLISH_WORDS).alias("n")).collect()}
+    assert counted == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
+    assert spark.createDataFrame([("éunable to",)], "x string").select(T.abstained(F.col("x")).alias("a")).first().a
