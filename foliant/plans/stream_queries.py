@@ -141,12 +141,11 @@ _CHANGED = "docs2 as (select doc_id, case when doc_id % 7 = 0 then 'Revised. ' |
 def stream_ingest_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks as a stream keeps them: new documents are cut and stored, changed ones replace their chunks, repeats do nothing."""
     chunks = S.ChunkSink(spark, ingest.scratch(spark, "stream-chunks"))
-    docs = spark.readStream.schema(SCHEMAS["documents"]).option("recursiveFileLookup", True)
     changed = ingest.scratch(spark, "stream-changes")
     revised = table(spark, d, "documents").where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("Revised. "), "text"))
     revised.write.parquet(changed)
-    S.drain(docs.option("pathGlobFilter", "documents.parquet").parquet(d), "append", chunks.sink("documents"))
-    S.drain(docs.option("pathGlobFilter", "*.parquet").parquet(changed), "append", chunks.sink("changes"))
+    S.drain(S.table_stream(spark, d, "documents"), "append", chunks.sink("documents"))
+    S.drain(spark.readStream.schema(SCHEMAS["documents"]).parquet(changed), "append", chunks.sink("changes"))
     return _show(chunks.table.read())
 
 

@@ -17,13 +17,18 @@ from foliant.sources.keyed import KeyedTable
 from foliant.sources.tables import SCHEMAS
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a data folder as a stream of its files, whether it is one file or a folder of parts."""
+    # A pattern, since a stream takes a plain path for a folder.
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, folder: str, watermark: str = "1 hour", closing: str | None = None) -> DataFrame:
     """Events as a stream of files, with a time that watermarks accept.
 
     ``closing`` is a folder for an end mark (see ``end_mark``), which closes windows and bursts that are still open.
     """
-    reader = spark.readStream.schema(SCHEMAS["events"])
-    rows = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
+    rows = table_stream(spark, folder, "events")
     if closing:
         rows = rows.unionByName(spark.readStream.schema(SCHEMAS["events"]).parquet(closing))
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)

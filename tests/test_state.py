@@ -187,3 +187,27 @@ def test_leaks_are_dropped_until_none_is_left(spark):
 def test_recall_of_a_dialogue(spark, said, found, want):
     turns = spark.createDataFrame([(1, True, said), (1, False, found), (2, False, ["Only reply"])], "conv_id long, asked boolean, l array<string>")
     assert pairs(E.graph_recall(turns)) == [(1, *want)]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from foliant.streaming import streams as S
+
+    rows = spark.range(6).selectExpr("id as doc_id", "'a' as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for layout in ("one", "many"):
+        got = S.drain(S.table_stream(spark, f"{tmp_path}/{layout}", "documents"), "append")
+        assert sorted(r.doc_id for r in got.collect()) == list(range(6))
+
+
+def test_the_first_neighbour_of_equal_relations_is_the_least(spark, tmp_path):
+    """Which of them comes first must not depend on partitions; the SQL leaves it open."""
+    from foliant.plans.graph_queries import entity_detail
+
+    for name, rows in {"lineitem": "l_partkey int, l_suppkey int, l_returnflag string, l_orderkey long, l_linenumber int", "part": "p_partkey int, p_name string", "supplier": "s_suppkey int, s_name string"}.items():
+        data = {"lineitem": [(9, 0, "A", 1, 1), (1, 0, "R", 1, 1), (5, 0, "N", 1, 1)], "part": [(1, "a"), (5, "b"), (9, "c")], "supplier": [(0, "s")]}[name]
+        spark.createDataFrame(data, rows).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r.node: r.first_other for r in entity_detail(spark, str(tmp_path)).collect()}
+    assert found == {"s0": "p1", "p1": "s0", "p5": "s0", "p9": "s0"}
