@@ -226,3 +226,24 @@ def test_words_end_at_letters_beyond_ascii_as_in_sql(spark):
     counted = {r.id: r.n for r in rows.select("id", T.count_words(F.col("x"), T.ENGLISH_WORDS).alias("n")).collect()}
     assert counted == {0: 1, 1: 1, 2: 0, 3: 0, 4: 1, 5: 0}
     assert spark.createDataFrame([("éunable to",)], "x string").select(T.abstained(F.col("x")).alias("a")).first().a
+
+
+def test_fixed_windows_of_a_long_text(spark):
+    """A window costs its block of the text; when each cost all text before it, this took many minutes."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdé  .\n") if rng.random() < 0.1 else "x" for _ in range(1_000_000)).strip()
+    want, at = [], 0
+    while at < len(text):
+        window = text[at : at + 512]
+        stop = max(window.rfind("."), window.rfind("\n"))
+        end = at + stop + 1 if at + 512 < len(text) and stop > 256 else at + 512
+        if text[at:end].strip():
+            want.append((text[at:end].strip(), at))
+        at = end - 50
+    began = time.monotonic()
+    rows = C.explode(spark.createDataFrame([(1, f" {text}\n"), (2, ""), (3, None)], "doc_id int, text string"), C.fixed(F.col("text"))).collect()
+    assert [(r.text, r.start) for r in sorted(rows, key=lambda r: r.chunk_index)] == want
+    assert time.monotonic() - began < 60
