@@ -129,3 +129,30 @@ def test_places_equal_a_window(spark):
     same = ordering.ranked(spark.range(500).select(F.lit(1).alias("grp"), F.lit("x").alias("v")), "grp", "v")
     assert sorted(r["place"] for r in same.collect()) == list(range(500))
     assert ordering.ranked(rows.limit(0), "grp", "id").count() == 0
+
+
+def test_an_index_is_built_without_a_shuffle_of_postings(spark):
+    """Terms are counted inside rows and postings packed inside tasks; only keys that repeat are gathered."""
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None)], DOCS)
+    terms = R.Bm25Index._terms(docs)
+    assert "Aggregate" not in plan(terms)
+    assert sorted((r.key, r.length, [tuple(x) for x in r.terms]) for r in terms.collect()) == [(1, 3, [("a", 1), ("b", 2)]), (2, 0, []), (3, 0, [])]
+    blocks = R.Bm25Index._blocks(terms)
+    assert "Aggregate" not in plan(blocks) and "Generate" not in plan(blocks)
+    assert sorted((r.term, r.n, r.most, r.least, r.id, r.tf, r.length) for r in blocks.collect()) == [("a", 1, 1, 3, [1], [1], [3]), ("b", 1, 2, 3, [1], [2], [3])]
+    again = R.Bm25Index._terms(docs.unionByName(spark.createDataFrame([(1, "b c")], DOCS)))
+    assert {(r.key, r.length, frozenset(tuple(x) for x in r.terms)) for r in again.collect()} == {(1, 5, frozenset({("a", 1), ("b", 3), ("c", 1)})), (2, 0, frozenset()), (3, 0, frozenset())}
+
+
+def test_queries_and_vectors_both_go_to_shares(spark):
+    """No task holds all queries: each group has a share of them and a block of the vectors."""
+    rng = random.Random(2)
+    rows = [(k, None, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    queries = spark.createDataFrame(rows, "query long, scope int, embedding array<double>")
+    vectors = spark.createDataFrame(rows, "id long, scope int, embedding array<double>")
+    found = R.dense_topk(queries, vectors, 5, block_rows=8)
+    assert "share" in found._jdf.queryExecution().optimizedPlan().toString()
+    cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), 6)  # noqa: B905, E731
+    want = {(q, i, rank) for q, _, a in rows for rank, (_, i) in enumerate(sorted((-cosine(a, b), i) for i, _, b in rows)[:5], 1)}
+    assert {(r["query"], r["id"], r["rank"]) for r in found.collect()} == want
