@@ -214,6 +214,8 @@ _SAMPLE, _SHARE, _COMMON = 10_000, 100, 1 << 17
 _STEPS = 256
 #: The least hashes of a set by which the first round of links meets.
 _FIRST = 4
+#: Bits of a set's parity map: two sets differ in at least as many tokens as their maps differ in bits.
+_MAP = 128
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +255,8 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 def shingle_heads(docs: DataFrame, shingle: int, share: float, common: tuple[np.ndarray, np.ndarray], prints: int, print_shingle: int) -> DataFrame:
     """What finds a row's partners, without its whole set: its size, a 128-bit hash (k1, k2) of it, its ``least``
-    hashes, its ``lead`` (as many tokens, rare ones first, as every partner of that share must meet) and its
-    fingerprints ``fps``."""
+    hashes, its ``lead`` (as many tokens, rare ones first, as every partner of that share must meet), its
+    fingerprints ``fps`` and its parity map (m1, m2): each bit tells whether the number of tokens that fall on it is odd."""
     known, counts = (np.append(x, 0) for x in common)
 
     def head(text: bytes) -> tuple:
@@ -266,17 +268,20 @@ def shingle_heads(docs: DataFrame, shingle: int, share: float, common: tuple[np.
         digest = np.frombuffer(xxhash.xxh128_digest(own.tobytes()), np.int64)
         hashes = shingle_hashes(text, print_shingle) if prints else own
         fps = np.array([majority(mixed(hashes, k)) for k in range(prints)], np.uint64).view(np.int64)
-        return len(own), digest[0], digest[1], np.sort(signed)[:_FIRST], lead, fps
+        odd = np.bincount((own & np.uint64(_MAP - 1)).astype(np.int64), minlength=_MAP) & 1
+        m1, m2 = np.packbits(odd.astype(bool)).view(np.int64)
+        return len(own), digest[0], digest[1], m1, m2, np.sort(signed)[:_FIRST], lead, fps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "size", "k1", "k2", "least", "lead", "fps"]
+        names = ["doc_id", "size", "k1", "k2", "m1", "m2", "least", "lead", "fps"]
         for whole in batches:
             for batch in slices(whole, 512):
-                size, k1, k2, *lists = zip(*map(head, utf8(batch.column(1))), strict=True)
-                plain = [pa.array(np.array(size, np.int32)), pa.array(np.array(k1)), pa.array(np.array(k2))]
+                size, *longs = columns = list(zip(*map(head, utf8(batch.column(1))), strict=True))
+                longs, lists = longs[:4], columns[5:]
+                plain = [pa.array(np.array(size, np.int32)), *(pa.array(np.array(x)) for x in longs)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *plain, *map(_lists, lists)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, k1 long, k2 long, least array<long>, lead array<long>, fps array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size int, k1 long, k2 long, m1 long, m2 long, least array<long>, lead array<long>, fps array<long>")
 
 
 def texts_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -297,12 +302,13 @@ def texts_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
-    """(a, b), a > b: members of one token's group (token, size, place, id, part) whose sizes and places allow the share.
+    """(a, b), a > b: members of one token's group (token, size, place, id, part, m1, m2) whose sizes, places and parity maps allow the share.
 
     ``neighbours``: only those next to each other by size. Otherwise rows must hold whole leads, and a pair must share
     enough of them: of two sets, the one whose lead ends first in the order of tokens has whatever it shares up to
     there in both leads, so the overlap is at most the shared leads and what follows the lead of the larger set.
-    Members of one part are no pair. Tokens come sorted; of a token that goes on in the next batch, the rows wait
+    Members of one part are no pair. Nor are two sets whose maps differ in more bits than the tokens in which sets of that
+    share may differ: sets with a common passage and little else meet by its tokens, but leave no row. Tokens come sorted; of a token that goes on in the next batch, the rows wait
     for it.
     """
 
@@ -339,9 +345,14 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
                     first = size[x] <= size[rest]
                     yield np.where(first, x, rest), np.where(first, rest, x)
 
-    def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(token: np.ndarray, size: np.ndarray, place: np.ndarray, ids: np.ndarray, part: np.ndarray, m1: np.ndarray, m2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        maps = [m.view(np.uint64) for m in (m1, m2)]
         waiting, n_waiting = [], 0
         for x, y in itertools.chain(fitting(token, size, part), [(None, None)]):
+            if x is not None:
+                apart = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in maps)
+                near = apart <= (1 - share) / (1 + share) * (size[x] + size[y]) * (1 + 1e-9)
+                x, y = x[near], y[near]
             if x is not None and len(x):
                 waiting.append((x, y))
                 n_waiting += len(x)
@@ -374,7 +385,9 @@ def _meetings(rows: DataFrame, share: float, neighbours: bool) -> DataFrame:
         if held:
             yield from pairs(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    met = rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part")
+    if "m1" not in rows.columns:  # without maps nothing is left out by them
+        rows = rows.withColumns({"m1": F.lit(0).cast("long"), "m2": F.lit(0).cast("long")})
+    met = rows.repartition("token").sortWithinPartitions("token", "size", "id").select("token", "size", "place", "id", "part", "m1", "m2")
     found = met.mapInArrow(run, "a long, b long, n long, need long, early boolean")
     counted = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("early").alias("early"))
     return counted.where("early and n >= need").select("a", "b")
@@ -424,14 +437,14 @@ def alike(docs: DataFrame, shingle: int, share: float, prints: int = 2, budget:
         union = F.size("sa") + F.size("sb") - both_have
         return cut(both.where((union == 0) | (both_have >= share * union)).select("a", "b"))
 
-    least = own.select(F.col("doc_id").alias("id"), "size", F.col("doc_id").alias("part"), F.lit(0).alias("place"), F.explode("least").alias("token"))
+    least = own.select(F.col("doc_id").alias("id"), "size", F.col("doc_id").alias("part"), F.lit(0).alias("place"), "m1", "m2", F.explode("least").alias("token"))
     proposed = _meetings(least, share, True)
     if prints:
         proposed = _fingerprint_pairs(own, budget).unionByName(proposed).distinct()
     near = verified(proposed)
     joined = sized(cut(connected_components(near, "a", "b").withColumnRenamed("node", "doc_id")), 200_000)
     parted = own.join(joined, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    leading = parted.select(F.col("doc_id").alias("id"), "size", "part", F.posexplode("lead").alias("place", "token"))
+    leading = parted.select(F.col("doc_id").alias("id"), "size", "part", "m1", "m2", F.posexplode("lead").alias("place", "token"))
     rest = verified(_meetings(leading, share, False))
     return equal.unionByName(near).unionByName(rest)
 

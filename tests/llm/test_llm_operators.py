@@ -799,3 +799,18 @@ def test_warc_files_are_plain_zstandard_with_distinct_ids(spark, tmp_path):
         known = zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None
         read += zstandard.ZstdDecompressor(dict_data=known).stream_reader(data[8 + size :], read_across_frames=True).read()
     assert read.count(b"WARC/1.1\r\n") == len(rows)
+
+
+def test_sets_with_a_common_passage_only_make_no_pairs(spark):
+    """Documents that share a passage and little else meet by its tokens; parity maps keep them from leaving rows."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    own = {k: passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(70)) for k in range(120)}
+    near = {k: " ".join(w if rng.random() > 0.01 else "x" for w in own[k - 1000].split()) for k in range(1000, 1030)}
+    docs = spark.createDataFrame([*own.items(), *near.items()], "doc_id long, text string")
+    heads = simhash.shingle_heads(docs, 5, 0.8, simhash.common_shingles(docs, 5), 0, 3)
+    leads = heads.select(F.col("doc_id").alias("id"), "size", F.col("doc_id").alias("part"), "m1", "m2", F.posexplode("lead").alias("place", "token"))
+    sets = {k: {" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for k, t in (own | near).items() for x in (t.split(),)}
+    want = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    met = {(r.a, r.b) for r in simhash._meetings(leads, 0.8, False).collect()}
+    assert len(want) > 10 and want <= met and len(met) < 2 * len(want)
