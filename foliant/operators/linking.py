@@ -62,6 +62,18 @@ def most_specific(linked: DataFrame, most: int = 5) -> DataFrame:
     return taken.select("query", "name", "score", "place")
 
 
+def linked_entities(queries: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """(query, name, score, place): the most specific names that each query (query, text) has; scores have nine digits.
+
+    Queries with the same texts have the same names, so each kind of query is linked once and its names are joined back.
+    """
+    asked = queries.where("text is not null").groupBy("query").agg(F.array_sort(F.collect_set("text")).alias("texts"))
+    kinds = cut(asked.select("texts").distinct().withColumn("kind", F.monotonically_increasing_id()))
+    linked = linked_names(kinds.select(F.col("kind").alias("query"), F.explode("texts").alias("text")), names)
+    found = most_specific(linked.withColumn("score", F.round("score", 9)), most).withColumnRenamed("query", "kind")
+    return asked.join(small(cut(kinds.join(small(found), "kind"))), "texts").select("query", "name", "score", "place")
+
+
 def _grams(x: Column, n: int) -> Column:
     """Distinct substrings of n characters."""
     at = F.sequence(F.lit(1), F.length(x) - n + 1)

@@ -211,3 +211,16 @@ def test_the_first_neighbour_of_equal_relations_is_the_least(spark, tmp_path):
         spark.createDataFrame(data, rows).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
     found = {r.node: r.first_other for r in entity_detail(spark, str(tmp_path)).collect()}
     assert found == {"s0": "p1", "p1": "s0", "p5": "s0", "p9": "s0"}
+
+
+def test_queries_with_the_same_texts_are_linked_once(spark, monkeypatch):
+    names = spark.createDataFrame([("red bolt",), ("red bolt brand",), ("blue ring",)], "name string")
+    texts = ["Has the red bolt brand come?", "Where is the blue ring?", "Nothing here"]
+    rows = [(q, texts[q % 3]) for q in range(60)] + [(60, None), (61, texts[0]), (61, texts[1])]
+    asked, linked = [], linking.linked_names
+    monkeypatch.setattr(linking, "linked_names", lambda queries, names: asked.append(queries.count()) or linked(queries, names))
+    got = sorted((r["query"], r["place"], r["name"], r["score"]) for r in linking.linked_entities(spark.createDataFrame(rows, "query long, text string"), names).collect())
+    assert asked == [5]  # three texts, and the pair of query 61
+    one = {0: [(1, "red bolt brand", 1.0)], 1: [(1, "blue ring", 1.0)], 2: []}
+    want = [(q, *x) for q in range(60) for x in one[q % 3]] + [(61, 1, "red bolt brand", 1.0), (61, 2, "blue ring", 1.0)]
+    assert got == want
