@@ -156,3 +156,24 @@ def test_queries_and_vectors_both_go_to_shares(spark):
     cosine = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / math.hypot(*a) / math.hypot(*b), 6)  # noqa: B905, E731
     want = {(q, i, rank) for q, _, a in rows for rank, (_, i) in enumerate(sorted((-cosine(a, b), i) for i, _, b in rows)[:5], 1)}
     assert {(r["query"], r["id"], r["rank"]) for r in found.collect()} == want
+
+
+def test_groups_of_documents_score_as_bounds_do(spark, tmp_path, monkeypatch):
+    """Many groups and shares, terms of many documents and of few, ties, and documents that have changed; pairs of query and document aren't shuffled."""
+    for name, value in {"MOST_OPENED": -1, "GROUP_POSTINGS": 500, "SHARE_TERMS": 20, "CELLS": 100, "MOST_DENSE": 3}.items():
+        monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr(R.Bm25Index, "BLOCK_DOCS", 10)
+    rng = random.Random(7)
+    docs = texts(rng, 150) | {900: None, 901: "", 903: "lone", 904: "lone"}
+    queries = [(q, " ".join(f"w{int(1.35 ** rng.randrange(26))}" for _ in range(rng.randrange(1, 30)))) for q in range(15)] + [(90, "lone w1"), (91, ""), (92, "unheard")]
+    index = R.Bm25Index(spark, f"file://{tmp_path}/bm25")
+    asked = spark.createDataFrame(queries, "query long, text string")
+    for step in range(2):
+        index.refresh(spark.createDataFrame([*docs.items()], DOCS))
+        for most in (store.MOST_KEYS, 0):  # few queries by their bounds first; many at once
+            monkeypatch.setattr(R, "MOST_KEYS", most)
+            frame = index.search(asked, 5)
+            assert "CoGroup" in frame._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted((r["query"], r["id"], r["rank"]) for r in frame.collect()) == brute(docs, queries, 5)
+        docs |= {3: "w1 lone lone", 950: "new w9 lone"}
+        docs.pop(7, None)
