@@ -12,6 +12,7 @@ from foliant.operators.lineage import cut
 from foliant.operators.ordering import ranked, summed
 from foliant.plans.registry import query
 from foliant.plans.retrieval_queries import gold_documents
+from foliant.sources.store import small
 from foliant.sources.tables import table
 
 _TK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
@@ -108,11 +109,12 @@ def entity_relation_recall(spark: SparkSession, d: str) -> DataFrame:
 select source as book, item_id, doc_id, base + start as start from s join o using (doc_id)""")
 def benchmark_build(spark: SparkSession, d: str) -> DataFrame:
     """Books of a source's documents, with the absolute place of every span that can be located."""
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", False)
     sizes = docs.select(F.col("source").alias("book"), "doc_id", (F.col("n_chars") + 2).alias("room"))
     base = summed(sizes, "book", "room", "doc_id").select("book", "doc_id", F.col("before").alias("base"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("needle"))
-    spans = gold_documents(spark, d).join(items, "query").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select(F.col("id").alias("doc_id"), F.col("query").alias("item_id"), (F.expr("position(needle in text)") - 1).alias("start"))
+    found = small(cut(gold_documents(spark, d).join(items, "query")))  # so that no text is shuffled for them
+    spans = found.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select(F.col("id").alias("doc_id"), F.col("query").alias("item_id"), (F.expr("position(needle in text)") - 1).alias("start"))
     return spans.join(base, "doc_id").select("book", "item_id", "doc_id", (F.col("base") + F.col("start")).alias("start"))
 
 

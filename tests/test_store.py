@@ -6,12 +6,15 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import ordering
 from foliant.operators import retrieval as R
+from foliant.plans import evaluation_queries, retrieval_queries
 from foliant.sources import store
 from foliant.sources.versions import VersionConflict, Versions
 
@@ -177,3 +180,14 @@ def test_groups_of_documents_score_as_bounds_do(spark, tmp_path, monkeypatch):
             assert sorted((r["query"], r["id"], r["rank"]) for r in frame.collect()) == brute(docs, queries, 5)
         docs |= {3: "w1 lone lone", 950: "new w9 lone"}
         docs.pop(7, None)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
+def test_no_text_is_shuffled_for_what_was_found(spark, monkeypatch):
+    """Rankings and gold documents go to the documents; these are read as they lie, neither dealt out nor shuffled."""
+    found = spark.createDataFrame([(1, 2, 3.0, 1)], "query long, id long, score double, rank int")
+    monkeypatch.setattr(retrieval_queries, "_index", lambda spark, d: SimpleNamespace(search=lambda queries, k: found))
+    monkeypatch.setattr(evaluation_queries, "gold_documents", lambda spark, d: found.select("query", "id"))
+    for f in (retrieval_queries.drop_selected_duplicate, retrieval_queries.context_summary, retrieval_queries.context_build, retrieval_queries.second_pass_rerank, evaluation_queries.benchmark_build):
+        plan = f(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition " not in plan and "strategy=broadcast" in plan, f.__name__
