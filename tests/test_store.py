@@ -148,6 +148,26 @@ def test_an_index_is_built_without_a_shuffle_of_postings(spark):
     assert {(r.key, r.length, frozenset(tuple(x) for x in r.terms)) for r in again.collect()} == {(1, 5, frozenset({("a", 1), ("b", 3), ("c", 1)})), (2, 0, frozenset()), (3, 0, frozenset())}
 
 
+def test_index_blocks_are_written_as_they_come(spark, tmp_path, monkeypatch):
+    """No task sorts its blocks, for folders neither; each batch is in the order of its terms, and few terms are looked up by name."""
+    monkeypatch.setattr(R.Bm25Index, "BLOCK_DOCS", 40)
+    docs = spark.createDataFrame([*texts(random.Random(3), 150).items(), (900, "\U0001f600 \uff5a z \u00e9 a"), (901, None)], DOCS)
+    index = R.Bm25Index(spark, f"file://{tmp_path}/bm25")
+    assert "Sort" not in R.Bm25Index._blocks(index._terms(docs))._jdf.queryExecution().optimizedPlan().toString()
+    folder = Path(index.refresh(docs)["segments"][0]["folder"].removeprefix("file://")) / "index"
+    assert not [f for f in folder.iterdir() if f.is_dir()]
+    batches = {}
+    for file in sorted(folder.glob("*.parquet")):
+        for r in spark.read.parquet(f"file://{file}").select("batch", "term").collect():
+            batches.setdefault(r["batch"], []).append(r["term"].encode())
+    assert len(batches) > 3 and all(terms == sorted(terms) for terms in batches.values())
+    for most in (R.MOST_NAMED, 0):
+        monkeypatch.setattr(R, "MOST_NAMED", most)
+        found = index.blocks(spark.createDataFrame([("z",), ("\u00e9",), ("w1",), ("unheard",)], "term string"))
+        assert sorted(r["term"] for r in found.select("term").distinct().collect()) == ["w1", "z", "\u00e9"]
+        assert ("In(term" in found._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+
+
 def test_queries_and_vectors_both_go_to_shares(spark):
     """No task holds all queries: each group has a share of them and a block of the vectors."""
     rng = random.Random(2)
