@@ -202,6 +202,37 @@ def test_groups_of_documents_score_as_bounds_do(spark, tmp_path, monkeypatch):
         docs.pop(7, None)
 
 
+def test_queries_of_one_share_go_to_the_rows_of_documents(spark, tmp_path, monkeypatch):
+    """No posting is shuffled for them: only the best k of each query leave a task, through changes of documents and many batches."""
+    for name, value in {"MOST_OPENED": -1, "CELLS": 100, "MOST_DENSE": 3}.items():
+        monkeypatch.setattr(R, name, value)
+    monkeypatch.setattr(R.Bm25Index, "BLOCK_DOCS", 10)
+    monkeypatch.setattr(R.Bm25Index, "BLOCK_POSTINGS", 60)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(8)
+    docs = texts(rng, 150) | {900: None, 901: "", 903: "lone", 904: "lone"}
+    queries = [(q, " ".join(f"w{int(1.35 ** rng.randrange(26))}" for _ in range(rng.randrange(1, 30)))) for q in range(15)] + [(90, "lone w1"), (91, ""), (92, "unheard")]
+    index = R.Bm25Index(spark, f"file://{tmp_path}/bm25")
+    asked = spark.createDataFrame(queries, "query long, text string")
+    try:
+        for step in range(2):
+            folder = Path(index.refresh(spark.createDataFrame([*docs.items()], DOCS))["segments"][-1]["folder"].removeprefix("file://"))
+            assert all(f.name.endswith(".zstd.parquet") for what in ("rows", "index") for f in (folder / what).glob("*.parquet"))
+            for most in (store.MOST_KEYS, 0):
+                monkeypatch.setattr(R, "MOST_KEYS", most)
+                frame = index.search(asked, 5)
+                plan = frame._jdf.queryExecution().optimizedPlan().toString()
+                assert "CoGroup" not in plan and "Generate" not in plan and "Repartition" not in plan
+                assert sorted((r["query"], r["id"], r["rank"]) for r in frame.collect()) == brute(docs, queries, 5)
+            docs |= {3: "w1 lone lone", 950: "new w9 lone"}
+            docs.pop(7, None)
+        assert index.search(asked.where("query = 92"), 5).count() == 0
+        monkeypatch.setattr(R, "MOST_ASKED", 3)
+        assert "CoGroup" in index.search(asked, 5)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
 def test_no_text_is_shuffled_for_what_was_found(spark, monkeypatch):
     """Rankings and gold documents go to the documents; these are read as they lie, neither dealt out nor shuffled."""
