@@ -233,6 +233,16 @@ def test_queries_of_one_share_go_to_the_rows_of_documents(spark, tmp_path, monke
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_ranking_is_sent_to_the_documents_of_other_sources(spark, tmp_path):
+    """No document's id is shuffled for it, and a document of several rows counts as often as in its SQL's join."""
+    spark.createDataFrame([(1, "a", "en", "src0", 1), (2, "b", "en", "src1", 1), (2, "c", "en", "src2", 1), (3, "d", "en", "src1", 1), (4, "e", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    ranked = spark.createDataFrame([(7, 1, 9.0, 1), (7, 2, 8.0, 2), (7, 4, 7.0, 3), (8, 3, 6.0, 1)], "query long, id long, score double, rank int")
+    found = retrieval_queries._outside(spark, f"file://{tmp_path}", store.small(ranked))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted((r["query"], r["id"], r["rank"]) for r in found.collect()) == [(7, 2, 2), (7, 2, 2), (8, 3, 1)]
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
 def test_no_text_is_shuffled_for_what_was_found(spark, monkeypatch):
     """Rankings and gold documents go to the documents; these are read as they lie, neither dealt out nor shuffled."""
