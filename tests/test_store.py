@@ -233,6 +233,33 @@ def test_queries_of_one_share_go_to_the_rows_of_documents(spark, tmp_path, monke
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_many_shares_of_queries_go_to_the_rows_of_documents(spark, tmp_path, monkeypatch):
+    """Beyond a bound no posting is copied for each share of queries, and a share has two tasks a core at most, of however many files the rows are."""
+    for name, value in {"MOST_OPENED": -1, "MOST_COPIES": 0, "SHARE_TERMS": 60, "CELLS": 100, "MOST_DENSE": 3, "MOST_KEYS": 0}.items():
+        monkeypatch.setattr(R, name, value, raising=False)
+    monkeypatch.setattr(R.Bm25Index, "BLOCK_DOCS", 5)
+    rng = random.Random(9)
+    docs = texts(rng, 150) | {900: None, 901: "", 903: "lone", 904: "lone"}
+    queries = [(q, " ".join(f"w{int(1.35 ** rng.randrange(26))}" for _ in range(rng.randrange(1, 30)))) for q in range(15)] + [(90, "lone w1"), (91, ""), (92, "unheard")]
+    index = R.Bm25Index(spark, f"file://{tmp_path}/bm25")
+    asked = spark.createDataFrame(queries, "query long, text string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")  # a task for each file
+    for step in range(2):
+        index.refresh(spark.createDataFrame([*docs.items()], DOCS).repartition(30))
+        frame = index.search(asked, 5)
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" not in plan and "Generate" not in plan
+        shares, most = plan.count("MapInArrow"), 2 * spark.sparkContext.defaultParallelism
+        assert shares > 1 and index.table.read().rdd.getNumPartitions() > most and plan.count(f"Repartition {most}, false") == shares
+        assert sorted((r["query"], r["id"], r["rank"]) for r in frame.collect()) == brute(docs, queries, 5)
+        docs |= {3: "w1 lone lone", 950: "new w9 lone"}
+        docs.pop(7, None)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    monkeypatch.setattr(R, "MOST_ASKED", 6)
+    monkeypatch.setattr(R, "SHARE_TERMS", 1 << 20)
+    assert index.search(asked, 5)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+
+
 def test_a_ranking_is_sent_to_the_documents_of_other_sources(spark, tmp_path):
     """No document's id is shuffled for it, and a document of several rows counts as often as in its SQL's join."""
     spark.createDataFrame([(1, "a", "en", "src0", 1), (2, "b", "en", "src1", 1), (2, "c", "en", "src2", 1), (3, "d", "en", "src1", 1), (4, "e", "en", None, 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
