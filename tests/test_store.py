@@ -9,12 +9,13 @@ from collections import Counter
 from pathlib import Path
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import ordering
 from foliant.operators import retrieval as R
-from foliant.plans import evaluation_queries, retrieval_queries
+from foliant.plans import catalogue, evaluation_queries, retrieval_queries
 from foliant.sources import store
 from foliant.sources.versions import VersionConflict, Versions
 
@@ -270,6 +271,28 @@ def test_a_ranking_is_sent_to_the_documents_of_other_sources(spark, tmp_path):
     assert sorted((r["query"], r["id"], r["rank"]) for r in found.collect()) == [(7, 2, 2), (7, 2, 2), (8, 3, 1)]
 
 
+def test_gold_groups_are_whole(spark, tmp_path):
+    """Every gold document of every item: parts of words, texts without words, ids that repeat or are missing; items that none holds."""
+    docs = [(1, "to concatenate, as it were"), (2, "the cat sat!!!"), (2, "another row: the cat sat"), (None, "no id, the cat sat on it"), (3, "preheating over headlines soon"), (4, ""), (5, None), (6, "CAT; the CAT SAT")]
+    items = [(10, "cat"), (11, "!!!"), (12, ""), (13, None), (14, "the cat sat"), (15, "at, as"), (16, "heating over head"), (17, "not there at all"), (18, "zebra"), (10, "CAT SAT"), (None, "the cat"), (19, "the cat sat on it"), (20, "the cat sat")]
+    spark.createDataFrame([(i, x, "en", "src0", None) for i, x in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    gold = [(q, i) for q, needle in items for i, text in docs if needle is not None and text is not None and needle in text]
+    every = lambda rows: sorted(rows, key=repr)
+    assert every(tuple(r) for r in retrieval_queries.gold_documents(spark, f"file://{tmp_path}").collect()) == every(gold)
+    want = []
+    for q in {q for q, _ in items}:
+        mine = [i for of, i in gold if of == q]
+        first = min((i for i in mine if i is not None), default=None)
+        want += [(q, len(mine), first, i) for i in mine] or [(q, 0, None, None)]
+    got = retrieval_queries.gold_groups(spark, f"file://{tmp_path}").select("query", "n_gold", "first_gold", "id").collect()
+    assert every(map(tuple, got)) == every(want)
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert every(con.execute(catalogue.ORACLES["gold_groups"]).fetchall()) == every(want)
+
+
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="needs the test tables")
 def test_no_text_is_shuffled_for_what_was_found(spark, monkeypatch):
     """Rankings and gold documents go to the documents; these are read as they lie, neither dealt out nor shuffled."""
